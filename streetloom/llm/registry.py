@@ -6,10 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, mixing, quality, simhash
+from . import bpe, exact_dedup, html_text, mixing, quality, simhash
 from .common import table
 
 
+def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of all pages."""
+    return html_text.main_text(table(spark, sf_dir, "pages"))
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Byte-level BPE ids of all documents, and what they decode to, as digests."""
     return bpe.digests(table(spark, sf_dir, "documents"))
@@ -36,6 +41,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_html_text": op1_html_text,
     "op2_bpe": op2_bpe,
     "op3_simhash": op3_simhash,
     "op4_quality": op4_quality,
