@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, html_text, mixing, order_minhash, quality, simhash
+from . import bpe, exact_dedup, html_text, licenses, mixing, order_minhash, pii, quality, simhash, token_counts
 from .common import table
 
 
@@ -40,6 +40,21 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The license that covers each document best."""
+    return licenses.best(table(spark, sf_dir, "documents"))
+
+
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with surrogates for personal data."""
+    return pii.replace(table(spark, sf_dir, "documents"))
+
+
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of all documents."""
+    return token_counts.token_counts(table(spark, sf_dir, "documents"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mix of all documents by source."""
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
@@ -52,6 +67,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality": op4_quality,
     "op5_order_minhash": op5_order_minhash,
     "op6_exact_dedup": op6_exact_dedup,
+    "op7_licenses": op7_licenses,
+    "op8_pii": op8_pii,
+    "op9_token_counts": op9_token_counts,
     "op10_mixing": op10_mixing,
 }
 ORACLE: dict[str, str] = {"op6_exact_dedup": exact_dedup.ORACLE, "op10_mixing": mixing.ORACLE}
