@@ -16,6 +16,8 @@ _E = math.sqrt(FLATTENING * (2 - FLATTENING))
 _ALPHA = [_N / 2 - 2 * _N**2 / 3 + 5 * _N**3 / 16 + 41 * _N**4 / 180, 13 * _N**2 / 48 - 3 * _N**3 / 5 + 557 * _N**4 / 1440, 61 * _N**3 / 240 - 103 * _N**4 / 140, 49561 * _N**4 / 161280]
 _BETA = [_N / 2 - 2 * _N**2 / 3 + 37 * _N**3 / 96 - _N**4 / 360, _N**2 / 48 + _N**3 / 15 - 437 * _N**4 / 1440, 17 * _N**3 / 480 - 37 * _N**4 / 840, 4397 * _N**4 / 161280]
 
+_DELTA = [2 * _N - 2 * _N**2 / 3 - 2 * _N**3 + 116 * _N**4 / 45, 7 * _N**2 / 3 - 8 * _N**3 / 5 - 227 * _N**4 / 45, 56 * _N**3 / 15 - 136 * _N**4 / 35, 4279 * _N**4 / 630]
+
 
 def estimate_utm(min_lon: float, min_lat: float, max_lon: float, max_lat: float) -> int:
     """EPSG code of the UTM zone at the centre of a box."""
@@ -50,14 +52,11 @@ def from_utm(x: Column, y: Column, epsg: int) -> tuple[Column, Column]:
     for j, b in enumerate(_BETA, 1):
         u = u - b * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
         w = w - b * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
-    tau = F.sin(u) / F.sqrt(F.sinh(w) * F.sinh(w) + F.cos(u) * F.cos(u))
-    lam = F.atan2(F.sinh(w), F.cos(u))
-    best = tau
-    for _ in range(5):  # Newton steps back from the conformal latitude
-        sigma = F.sinh(_E * F.atanh(_E * best / F.sqrt(1 + best * best)))
-        have = best * F.sqrt(1 + sigma * sigma) - sigma * F.sqrt(1 + best * best)
-        best = best + (tau - have) / F.sqrt(1 + have * have) * (1 + (1 - _E**2) * best * best) / ((1 - _E**2) * F.sqrt(1 + best * best))
-    return F.degrees(lam + F.lit(meridian)), F.degrees(F.atan(best))
+    conformal, lam = F.asin(F.sin(u) / F.cosh(w)), F.atan2(F.sinh(w), F.cos(u))
+    phi = conformal
+    for j, d in enumerate(_DELTA, 1):
+        phi = phi + d * F.sin(2 * j * conformal)
+    return F.degrees(lam + F.lit(meridian)), F.degrees(phi)
 
 
 def line_to_utm(line: Column, epsg: int) -> Column:
