@@ -40,12 +40,14 @@ def read_graph(spark: SparkSession, path: str, validate: bool = True) -> CityGra
 
 def export_archive(graph: CityGraph, path: str) -> str:
     """One zip file on the driver, for graphs of a city's size."""
+    import pyarrow.parquet as pq
+
     path = path if path.endswith(SUFFIX) else path + SUFFIX
     folder = tempfile.mkdtemp(prefix="graph-")
     try:
         graph.validate()
         for name, table in (("nodes", graph.nodes), ("edges", graph.edges)):
-            table.toPandas().to_parquet(os.path.join(folder, f"{name}.parquet"), index=False)
+            pq.write_table(table.toArrow(), os.path.join(folder, f"{name}.parquet"))
         with open(os.path.join(folder, "metadata.json"), "w") as file:
             json.dump({"format": FORMAT, "version": VERSION, **asdict(graph.meta)}, file)
         with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as archive:
