@@ -9,6 +9,11 @@ import zipfile
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.components import star_components as components
+from ..operators.order import checkpoint, shared_folder
+
+__all__ = ["BATCH_ROWS", "SPACE", "WORD", "block_offsets", "checkpoint", "components", "n_words", "ordered_blocks", "shared_folder", "ship", "table", "text_of"]
+
 #: The six characters that count as white space in every contract.
 SPACE = r"[\x20\x09-\x0D]"
 #: Everything else makes words.
@@ -46,20 +51,6 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(app)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
-    return context.getCheckpointDir()
-
-
-def checkpoint(df: DataFrame) -> DataFrame:
-    """The frame, written to the shared folder and cut from its lineage."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def text_of(column: str = "text") -> Column:
     """The text; a missing one counts as empty."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
@@ -87,38 +78,3 @@ def block_offsets(blocked: DataFrame, groups: list[str], value: Column) -> DataF
     # one row a block in each group: at most as many as there are blocks
     earlier = Window.partitionBy(*groups).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     return sums.withColumn("_before", F.coalesce(F.sum("_sum").over(earlier), F.lit(0))).drop("_sum")
-
-
-def _signature(edges: DataFrame) -> tuple:
-    # shifted right so that sums over many rows stay within a long
-    got = edges.agg(F.count(F.lit(1)), F.sum(F.shiftright(F.xxhash64("a", "b"), 24))).first()
-    return got[0], got[1]
-
-
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """Connected components of `edges` (a, b long): rows (node, root), root the smallest node.
-
-    Alternates large-star and small-star steps, each one min-aggregation and one
-    join, until the edges are stars around their roots; the number of rounds grows
-    with the logarithm of the longest path. Partial aggregation takes hub nodes,
-    adaptive execution splits their side of the join.
-    """
-    edges = checkpoint(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    before = _signature(edges)
-    if before[0] == 0:
-        return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    for _ in range(rounds):
-        both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        lowest = large.groupBy("a").agg(F.min("b").alias("m"))
-        joined = large.join(lowest, "a")
-        small = joined.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(lowest.select("a", F.col("m").alias("b"))).distinct()
-        edges = checkpoint(small)
-        after = _signature(edges)
-        if after == before:
-            break
-        before = after
-    else:
-        raise RuntimeError("components did not settle")
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
