@@ -21,6 +21,7 @@ empty table gives no rows; further columns are ignored.
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -39,7 +40,7 @@ DIM = 8
 GRAMS = (2, 4)
 EPOCHS = 6
 RATE = 0.5
-#: Words a task remembers.
+#: Words in each half of a task's memory.
 REMEMBERED = 200_000
 #: Stands for the bigram of a word with itself, whatever the word.
 AGAIN = "\x00again\x00"
@@ -49,22 +50,18 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 3 == 1
 
 
-def features(word: str) -> np.ndarray:
+def hashes(word: str) -> list[int]:
     """Rows of the table for a word: the word itself and its n-grams, with its ends marked."""
-    data = f"<{word}>".encode("utf-8", "surrogatepass")
-    raw, crc, low, high = f"<{word}>", zlib.crc32, *GRAMS
-    if len(raw) > 64:  # very long words: n-grams over bytes, vectorised
-        codes = np.frombuffer(data, np.uint8).astype(np.uint64)
-        found = [np.array([crc(data)], np.uint64)]
-        for n in range(low, high + 1):
-            h = np.full(len(codes) - n + 1, 2166136261 + n, np.uint64)
-            for i in range(n):
-                h = (h ^ codes[i : len(codes) - n + 1 + i]) * np.uint64(16777619) & np.uint64(0xFFFFFFFF)
-            found.append(h ^ (h >> np.uint64(15)))
-        ids = np.concatenate(found)
-    else:
-        ids = np.array([crc(data), *(crc(raw[i : i + n].encode("utf-8", "surrogatepass")) for n in range(low, high + 1) for i in range(len(raw) - n + 1))], np.uint64)
-    return (ids & np.uint64((1 << ROWS_LOG2) - 1)).astype(np.int64)
+    marked, crc, mask = f"<{word}>", zlib.crc32, (1 << ROWS_LOG2) - 1
+    data = marked.encode("utf-8", "surrogatepass")
+    low, high = GRAMS
+    if len(data) == len(marked):  # ASCII: n-grams are slices of the bytes
+        return [crc(data) & mask, *[crc(data[i : i + n]) & mask for n in range(low, high + 1) for i in range(len(data) - n + 1)]]
+    return [crc(data) & mask, *[crc(marked[i : i + n].encode("utf-8", "surrogatepass")) & mask for n in range(low, high + 1) for i in range(len(marked) - n + 1)]]
+
+
+def features(word: str) -> np.ndarray:
+    return np.array(hashes(word), np.int64)
 
 
 def words_of(text: str) -> Counter:
@@ -128,22 +125,29 @@ def train(texts: list[str], labels: list[int], epochs: int = EPOCHS, seed: int =
 def scorer(shares: np.ndarray, bias: float):
     """Function over batches of texts that gives scores."""
 
+    by_row = shares.tolist()
+
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        sums: dict[str, tuple[float, int]] = {}
+        # when the newer half is full it becomes the older one, and what is met again moves back
+        newer: dict[str, tuple[float, int]] = {}
+        older: dict[str, tuple[float, int]] = {}
         for texts in batches:
             found = []
             for text in texts:
                 total, n = 0.0, 0
                 for word, times in words_of(text or "").items():
-                    got = sums.get(word)
+                    got = newer.get(word)
                     if got is None:
-                        if len(sums) >= REMEMBERED:
-                            sums.clear()
-                        ids = features(word)
-                        got = sums[word] = (float(shares[ids].sum()), len(ids))
+                        got = older.get(word)
+                        if got is None:
+                            rows = hashes(word)
+                            got = (sum([by_row[r] for r in rows]), len(rows))
+                        if len(newer) >= REMEMBERED:
+                            newer, older = {}, newer
+                        newer[word] = got
                     total += got[0] * times
                     n += got[1] * times
-                found.append(1 / (1 + np.exp(-np.clip(total / n + bias, -50, 50))) if n else 0.0)
+                found.append(1 / (1 + math.exp(-min(max(total / n + bias, -50), 50))) if n else 0.0)
             yield pd.Series(found, dtype="float64")
 
     return score
