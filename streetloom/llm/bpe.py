@@ -181,12 +181,20 @@ class Codec:
                 self.newer[match] = found
         return found
 
+    def _all(self, text: str) -> list[tuple[tuple[int, ...], str]]:
+        matches = self.split(text)
+        found = list(map(self.newer.get, matches))
+        for k, x in enumerate(found):
+            if x is None:
+                found[k] = self._known(matches[k])
+        return found
+
     def encode(self, text: str) -> list[int]:
-        return [i for ids, _ in map(self._known, self.split(text)) for i in ids]
+        return [i for ids, _ in self._all(text) for i in ids]
 
     def written(self, text: str) -> tuple[list[int], str]:
         """The ids, and the ids as decimal numbers joined by one space."""
-        found = list(map(self._known, self.split(text)))
+        found = self._all(text)
         return [i for ids, _ in found for i in ids], " ".join([said for _, said in found])
 
     def decode(self, ids: list[int]) -> bytes:
