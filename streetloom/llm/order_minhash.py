@@ -18,7 +18,7 @@ text order, and the numbers follow from where each run begins.
 Defined cases: a null or empty text has no k-mers and an empty fingerprint; fewer than k
 words are one k-mer; a null doc_id comes after every other id; rows that share a doc_id
 have the same next document, the next smaller id, and of several rows with that id the
-next is the one whose text has the smallest hash; a table of one id has itself as next; an
+next is the one with the smallest text; a table of one id has itself as next; an
 empty table gives no rows; further columns are ignored.
 """
 
@@ -118,9 +118,10 @@ def fingerprints(docs: DataFrame, k: int = K) -> DataFrame:
     """One row per document: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
     order = next_documents(docs)
     base = with_components(docs.select(_key(F.col("doc_id")).alias("key"), text_of().alias("text")), "text", "own", k)
-    # of several rows with the next id one is sent; both sides read one exchange by key
-    nth = F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("text")))
-    sources = base.withColumn("nth", nth).filter("nth = 1").select(F.col("key").alias("next"), F.col("text").alias("more"), F.col("own").alias("others"))
+    # Of several rows with the next id the first is sent. Both sides read one exchange by key, as long
+    # as nothing stands below it on one side only: a rank would put its limit there, a lag does not.
+    earlier = F.lag("key").over(Window.partitionBy("key").orderBy("text"))
+    sources = base.withColumn("earlier", earlier).filter("earlier is null").select(F.col("key").alias("next"), F.col("text").alias("more"), F.col("own").alias("others"))
     sent = sources.join(order, "next").select("key", F.expr("substring(more, 1, need)").alias("more"), "others")
     joined = base.join(sent, "key").withColumn("n", F.length("text")).withColumn("half", F.floor(F.col("n") / 2).cast("int"))
     edited = joined.withColumn("edited", F.expr("concat(substring(text, 1, n - half), substring(more, 1, half))"))
