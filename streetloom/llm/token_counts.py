@@ -26,64 +26,58 @@ from .common import ship, text_of
 
 VOCABULARY = "piece_bpe_32k.model"
 MARK = "▁"
-#: Nodes of a trie before it starts anew, and characters of a word that it holds.
-NODES = 600_000
-DEEPEST = 48
+#: Pre-tokens whose counts a task remembers.
+REMEMBERED = 400_000
 _SPACES = " \t\n\x0b\x0c\r"
 
 
 class Trie:
-    """Forward scores of the prefixes of all inserted pre-tokens."""
+    """Forward scores of the prefixes of pre-tokens, and the counts at their ends.
+
+    Pre-tokens are inserted in sorted order, which visits the trie depth first: what is kept
+    of it at any time is the path to the last one, and the next one goes on where they part.
+    """
 
     def __init__(self, scores: dict[str, float]):
         self.scores = scores
-        self.longest = max(map(len, scores), default=1)
+        #: All ends of pieces: a search for pieces that end somewhere stops where none goes on.
+        self.ends = {p[i:] for p in scores for i in range(len(p))}
         self.unknown = min(scores.values(), default=0.0) - 10.0
-        self.clear()
-
-    def clear(self) -> None:
-        self.child: dict[tuple[int, str], int] = {}
-        self.best, self.pieces, self.terminal = [0.0], [0], {}
-
-    def _step(self, text: str, end: int, best: list[float], pieces: list[int]) -> tuple[float, int]:
-        """Score and count of text[:end] from those of its prefixes."""
-        n_bytes = len(text[end - 1].encode("utf-8", "surrogatepass"))
-        top, least = best[end - 1] + self.unknown * n_bytes, pieces[end - 1] + n_bytes
-        get = self.scores.get
-        for start in range(max(0, end - self.longest), end):
-            score = get(text[start:end])
-            if score is not None:
-                total, count = best[start] + score, pieces[start] + 1
-                if total > top or total == top and count < least:
-                    top, least = total, count
-        return top, least
+        self.terminal: dict[str, int] = {}
+
+    def insert(self, words: list[str]) -> None:
+        """Store the counts of some pre-tokens; those that are known need nothing."""
+        scores, ends, terminal = self.scores, self.ends, self.terminal
+        if len(terminal) > REMEMBERED:
+            terminal.clear()
+        last, best, pieces = "", [0.0], [0]
+        for word in sorted(w for w in words if w not in terminal):
+            shared = 0
+            for x, y in zip(last, word, strict=False):
+                if x != y:
+                    break
+                shared += 1
+            del best[shared + 1 :], pieces[shared + 1 :]
+            for end in range(shared + 1, len(word) + 1):
+                n_bytes = len(word[end - 1].encode("utf-8", "surrogatepass"))
+                top, least = best[end - 1] + self.unknown * n_bytes, pieces[end - 1] + n_bytes
+                start = end - 1
+                while start >= 0 and (part := word[start:end]) in ends:
+                    score = scores.get(part)
+                    if score is not None:
+                        total, count = best[start] + score, pieces[start] + 1
+                        if total > top or total == top and count < least:
+                            top, least = total, count
+                    start -= 1
+                best.append(top)
+                pieces.append(least)
+            terminal[word], last = pieces[-1], word
 
     def count(self, word: str) -> int:
         """Pieces of a pre-token."""
-        known = self.terminal.get(word)
-        if known is not None:
-            return known
-        if len(self.best) > NODES:
-            self.clear()
-        best, pieces, node = [0.0], [0], 0
-        for end in range(1, len(word) + 1):
-            if end <= DEEPEST:
-                key = (node, word[end - 1])
-                node = self.child.get(key)
-                if node is None:
-                    score, count = self._step(word, end, best, pieces)
-                    node = self.child[key] = len(self.best)
-                    self.best.append(score)
-                    self.pieces.append(count)
-                best.append(self.best[node])
-                pieces.append(self.pieces[node])
-            else:  # the rest of a very long word is not worth keeping
-                score, count = self._step(word, end, best, pieces)
-                best.append(score)
-                pieces.append(count)
-        if len(word) <= DEEPEST:
-            self.terminal[word] = pieces[-1]
-        return pieces[-1]
+        if word not in self.terminal:
+            self.insert([word])
+        return self.terminal[word]
 
 
 def read_scores(path: str | None = None) -> dict[str, float]:
@@ -118,10 +112,9 @@ def token_counts(docs: DataFrame, path: str | None = None) -> DataFrame:
         trie = Trie(sent.value)
         for texts in batches:
             counted = [words_of(x or "") for x in texts]
-            # sorted, so that neighbours share their path
-            fresh = {w for c in counted for w in c}
-            count = {w: trie.count(MARK + w) for w in sorted(fresh)}
-            yield pd.DataFrame({"n_words": [sum(c.values()) for c in counted], "n_tokens": [sum(count[w] * n for w, n in c.items()) for c in counted]}, dtype="int64")
+            trie.insert(list({MARK + w for c in counted for w in c}))
+            count = trie.terminal
+            yield pd.DataFrame({"n_words": [sum(c.values()) for c in counted], "n_tokens": [sum([count[MARK + w] * n for w, n in c.items()]) for c in counted]}, dtype="int64")
 
     found = F.pandas_udf(run, "n_words long, n_tokens long")
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), found(text_of()).alias("t")).select("doc_id", "t.*")

@@ -426,10 +426,10 @@ def test_token_counts(spark, edge, none):
         word = "▁" + "".join(rng.choices("abé", k=rng.randint(0, 7)))
         best = max(s for s, _ in every(word))
         assert trie.count(word) in {c for s, c in every(word) if abs(s - best) < 1e-9}
-    token_counts.NODES, kept = 5, token_counts.NODES
+    token_counts.REMEMBERED, kept = 1, token_counts.REMEMBERED
     small = token_counts.Trie(scores)
     assert [small.count(w) for w in ("▁abab", "▁ba", "▁abab")] == [trie.count(w) for w in ("▁abab", "▁ba", "▁abab")]
-    token_counts.NODES = kept
+    token_counts.REMEMBERED = kept
     real = token_counts.Trie(token_counts.read_scores())
     got = sorted((r["n_words"], r["n_tokens"]) for r in token_counts.token_counts(edge).collect())
     assert got == sorted((len((t or "").split()), sum(real.count("▁" + w) for w in (t or "").split())) for _, t, _ in EDGE)
