@@ -457,10 +457,12 @@ def subway(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("intermodal_join")
 def intermodal_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rides = transit_rides(spark, sf_dir).filter("event_id % 4 = 0")
+    """All rides as lines, with a platform beside each stop, hung on the streets."""
+    rides = transit_rides(spark, sf_dir)
     half = lambda c: F.col(c) / 4 + 7.0
     stop = lambda c, a, b: rides.select(F.col("event_id").alias("pos"), F.concat(F.lit("s"), F.col(c)).alias("node_id"), F.col("mode").alias("type"), F.col("route").cast("string").alias("route"), half(a).alias("x"), half(b).alias("y"))
-    n = 10_000_000
+    # every event has a position below n, so those of both stops and their platforms lie apart
+    n = (table(spark, sf_dir, "events").agg(F.max("event_id")).first()[0] or 0) + 1
     stops = stop("u", "x1", "y1").unionByName(stop("v", "x2", "y2").withColumn("pos", F.col("pos") + n))
     platforms = stops.withColumns({"pos": F.col("pos") + 2 * n, "node_id": F.concat(F.lit("p"), "node_id"), "type": F.lit("platform"), "y": F.col("y") + 3})
     line = lambda ax, ay, bx, by: F.array(geom.point(ax, ay), geom.point(bx, by))
