@@ -138,6 +138,7 @@ r(source, node, dist) using key (source, node) as ({seeds} union
 
 @query("parallel_paths", f"with recursive {C1}, {_many('select id, id, 0::float from n where id % 311 = 0', '')} select source, node, dist from r")
 def parallel_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Searches from the sources of the definition: customers whose number is a multiple of 311."""
     return paths.per_source(street_grid(spark, sf_dir), _every(spark, sf_dir, 311))
 
 
@@ -147,22 +148,39 @@ def _od(limit: str) -> str:
 
 @query("od_matrix", _od(""))
 def od_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From every fifth object to all; od_matrix_all has all pairs."""
     places = objects(spark, sf_dir).select("object_id", "node_id")
     return paths.od_matrix(street_grid(spark, sf_dir), places.filter("object_id % 5 = 0"), places)
 
 
 @query("od_threshold", _od(" and r.dist + a.w <= 1.5::float"))
 def od_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From every fifth object to all within 1.5 minutes; od_threshold_all has all pairs."""
     places = objects(spark, sf_dir).select("object_id", "node_id")
     return paths.od_matrix(street_grid(spark, sf_dir), places.filter("object_id % 5 = 0"), places, threshold=1.5)
 
 
 @query("od_turned", f"with recursive {C1.replace('a as (select s, d,', 'a as (select d as s, s as d,')}, {C4}, {_many('select distinct node_id, node_id, 0::float from o where object_id % 5 = 0', ' and r.dist + a.w <= 1.5::float')} select p.object_id as origin_id, q.object_id as dest_id, r.dist from r join o q on q.node_id = r.source and q.object_id % 5 = 0 join o p on p.node_id = r.node")
 def od_turned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From all objects to every fifth within 1.5 minutes, searched from the destinations."""
     places = objects(spark, sf_dir).select("object_id", "node_id")
     return paths.od_matrix(street_grid(spark, sf_dir), places, places.filter("object_id % 5 = 0"), threshold=1.5)
 
 
+@query("od_matrix_all")
+def od_matrix_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pairs of objects that a path joins."""
+    places = objects(spark, sf_dir).select("object_id", "node_id")
+    return paths.od_matrix(street_grid(spark, sf_dir), places, places)
+
+
+@query("od_threshold_all")
+def od_threshold_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pairs of objects within 1.5 minutes."""
+    places = objects(spark, sf_dir).select("object_id", "node_id")
+    return paths.od_matrix(street_grid(spark, sf_dir), places, places, threshold=1.5)
+
+
 # --- components --------------------------------------------------------------------------------
 
 _WEAK = f"""with recursive {C6}, b as (select u as s, v as d from e union select v, u from e),

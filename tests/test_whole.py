@@ -1,12 +1,15 @@
 """Registered queries do the whole job: no row of the tables is left out."""
 
+import heapq
 import os
+from collections import defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from streetloom.plans import registry
-from streetloom.plans.derived import transit_rides
+from streetloom.plans.derived import objects, street_grid, transit_rides
 
 DATA = "/root/testdata/sf0.001"
 needs_data = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
@@ -40,3 +43,32 @@ def test_intermodal_join_with_far_event_ids(spark, tmp_path):
         frame.write.parquet(str(place / "events.parquet"))
     said = [counted(registry.QUERIES["intermodal_join"](spark, str(p)), "u", "v", "type", "route", "length_meter", "time_min") for p in (near, far)]
     assert said[0] == said[1]
+
+
+def nearest(out, start):
+    """Least distances from one node, summed as float32."""
+    best, heap = {}, [(np.float32(0), start)]
+    while heap:
+        d, at = heapq.heappop(heap)
+        if at not in best:
+            best[at] = d
+            for to, w in out[at]:
+                if to not in best:
+                    heapq.heappush(heap, (np.float32(d + w), to))
+    return best
+
+
+@needs_data
+def test_od_of_all_objects_against_brute_force(spark):
+    out = defaultdict(list)
+    for e in street_grid(spark, DATA).edges.select("u", "v", "time_min", "oneway").collect():
+        out[e["u"]].append((e["v"], np.float32(e["time_min"])))
+        if not e["oneway"]:
+            out[e["v"]].append((e["u"], np.float32(e["time_min"])))
+    places = [(r["object_id"], r["node_id"]) for r in objects(spark, DATA).collect()]
+    far = {n: nearest(out, n) for _, n in places}
+    want = {(a, b): far[s][t] for a, s in places for b, t in places if t in far[s]}
+    plain = lambda name: {(r["origin_id"], r["dest_id"]): np.float32(r["dist"]) for r in registry.QUERIES[name](spark, DATA).collect()}
+    assert {a for a, _ in want} == {a for a, _ in places}
+    assert plain("od_matrix_all") == want
+    assert plain("od_threshold_all") == {k: d for k, d in want.items() if d <= np.float32(1.5)}
