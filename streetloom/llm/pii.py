@@ -9,7 +9,9 @@ its spellings share a surrogate, each in its own format.
 Surrogates must keep entities apart: the distinct entities of the whole corpus are dealt
 by their candidate surrogate, one entity keeps it, and the others draw again with a counter
 in the key, as do those whose candidate is an entity of the corpus itself, until none is
-left. What a document's spans become then follows from a join on the entity.
+left. Surrogates that many attempts find taken lengthen, names and addresses by syllables,
+all others by digits or letters behind their format, so that they cannot run out.
+What a document's spans become then follows from a join on the entity.
 
 The key is a parameter; who has it and the table of entities can compute the surrogates,
 nobody else.
@@ -22,6 +24,8 @@ further columns, those that clash with the result's names are replaced.
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,6 +48,8 @@ ANY = "|".join([NAME, EMAIL, ACCESS_KEY, HEX, CARD, IP, SSN, PHONE])
 GIVEN = {("m", "latin"): ["Adrian", "Bruno", "Conrad", "Dario", "Emil", "Felix", "Gustav", "Hugo"], ("f", "latin"): ["Ada", "Bianca", "Clara", "Dora", "Elena", "Flora", "Greta", "Hanna"], ("m", "cyrillic"): ["Антон", "Борис", "Виктор", "Глеб"], ("f", "cyrillic"): ["Анна", "Вера", "Галина", "Дарья"]}
 ONSET = {"latin": "b c d f g h j k l m n p r s t v".split(), "cyrillic": "б в г д ж з к л м н п р с т ф х".split()}
 VOWEL = {"latin": "a e i o".split(), "cyrillic": "а е и о".split()}
+#: Attempts at one length of surrogates.
+LONGER = 10
 
 
 def kind(value: Column) -> Column:
@@ -85,24 +91,31 @@ def _pick(items: list[str], digest: Column, nth: int) -> Column:
     return F.element_at(F.array(*map(F.lit, items)), _number(digest, nth, len(items)) + 1)
 
 
-def candidate(kind_: Column, known: Column, digest: Column) -> Column:
-    """The surrogate of a canonical form."""
+def candidate(kind_: Column, known: Column, digest: Column, attempt: int = 0) -> Column:
+    """The surrogate of a canonical form; it is one step longer for every LONGER attempts before."""
+    more = attempt // LONGER
     n = F.length(known)
-    place = F.sequence(F.lit(1), F.greatest(n, F.lit(1)))
+    place = F.sequence(F.lit(1), F.greatest(n, F.lit(1)) + more)
 
     def each(alphabet: str, keep: int = 0) -> Column:
         letters = F.array(*map(F.lit, alphabet))
         return F.array_join(F.transform(place, lambda i: F.when(i <= keep, F.substring(known, 1, 0) if not keep else known.substr(i, F.lit(1))).otherwise(F.element_at(letters, (F.conv(digest.substr(((i * 2) % 120 + 1).cast("int"), F.lit(4)), 16, 10).cast("int") + i * 7) % len(alphabet) + 1))), "")
 
-    def syllables(script: str, count: int, first: int) -> Column:
-        return F.concat(*(x for k in range(count) for x in (_pick(ONSET[script], digest, first + 2 * k), _pick(VOWEL[script], digest, first + 2 * k + 1))))
+    def syllables(script: str, n_syllables: int, first: int, digits: Column = digest) -> Column:
+        return F.concat(*(x for k in range(n_syllables) for x in (_pick(ONSET[script], digits, first + 2 * k), _pick(VOWEL[script], digits, first + 2 * k + 1))))
+
+    def extra(script: str) -> Column:
+        # digits of their own, as those of the digest are spent
+        return F.concat(F.lit(""), *(syllables(script, 1, 2 * (k % 16), F.sha2(F.concat(digest, F.lit(f"\x01{k // 16}")), 512)) for k in range(more)))
 
     domain = F.concat(F.lit("mail"), _number(digest, 30, 1000).cast("string"), F.lit(".example.net"))
-    email = F.concat(syllables("latin", 4, 0), F.lit("."), F.lpad(_number(digest, 28, 100).cast("string"), 2, "0"), F.lit("@"), domain)
+    email = F.concat(syllables("latin", 4, 0), extra("latin"), F.lit("."), F.lpad(_number(digest, 28, 100).cast("string"), 2, "0"), F.lit("@"), domain)
     ip = F.concat_ws(".", *((_number(digest, k, 254) + 1).cast("string") for k in range(4)))
+    if more:  # as if with a port
+        ip = F.concat(ip, F.lit(":"), *(_number(digest, 4 + k % 28, 10).cast("string") for k in range(more)))
 
     def name(gender: str, script: str) -> Column:
-        family = F.initcap(syllables(script, 3, 8))
+        family = F.initcap(F.concat(syllables(script, 3, 8), extra(script)))
         return F.concat(F.lit(gender + ":"), F.when(F.instr(known, " ") > 0, F.concat(_pick(GIVEN[gender, script], digest, 1), F.lit(" "))).otherwise(""), family)
 
     script_is = known.rlike(r"\p{IsCyrillic}")
@@ -124,22 +137,23 @@ def formatted(kind_: Column, value: Column, surrogate: Column) -> Column:
     digits_before = lambda i: F.length(F.regexp_replace(value.substr(F.lit(1), i), r"\D", ""))
     place = F.sequence(F.lit(1), F.length(value))
     spelled = F.array_join(F.transform(place, lambda i: F.when(value.substr(i, F.lit(1)).rlike(r"\d"), surrogate.substr(digits_before(i), F.lit(1))).otherwise(value.substr(i, F.lit(1)))), "")
+    beyond = surrogate.substr(digits_before(F.length(value)) + 1, F.length(surrogate))
     return (
-        F.when(kind_.isin("card", "ssn", "phone"), spelled)
+        F.when(kind_.isin("card", "ssn", "phone"), F.concat(spelled, beyond))
         .when(kind_ == "name", F.concat(_address(value), F.substring(surrogate, 3, 1000)))
         .when((kind_ == "email") & (value == F.upper(value)), F.upper(surrogate))
         .otherwise(surrogate)
     )
 
 
-def surrogates(values: DataFrame, key: str = KEY, rounds: int = 50) -> DataFrame:
+def surrogates(values: DataFrame, key: str = KEY) -> DataFrame:
     """For distinct spellings (value): their kind and surrogate. Different entities get different ones."""
     spelled = checkpoint(values.withColumn("kind", kind(F.col("value"))).withColumn("known", canonical(F.col("kind"), F.col("value"))))
     entities = spelled.select("kind", "known").distinct()
     open_ = checkpoint(entities)
     given = None
-    for attempt in range(rounds):
-        drawn = open_.withColumn("surrogate", candidate(F.col("kind"), F.col("known"), _digest(key, F.col("kind"), F.col("known"), F.lit(attempt))))
+    for attempt in count():
+        drawn = open_.withColumn("surrogate", candidate(F.col("kind"), F.col("known"), _digest(key, F.col("kind"), F.col("known"), F.lit(attempt)), attempt))
         # of the entities with one candidate the smallest keeps it, unless it is taken or an entity itself
         first = drawn.groupBy("kind", "surrogate").agg(F.min("known").alias("known"))
         kept = first.join(entities.select("kind", F.col("known").alias("surrogate")), ["kind", "surrogate"], "left_anti")
@@ -150,8 +164,6 @@ def surrogates(values: DataFrame, key: str = KEY, rounds: int = 50) -> DataFrame
         open_ = checkpoint(open_.join(kept.select("kind", "known"), ["kind", "known"], "left_anti"))
         if open_.isEmpty():
             break
-    else:
-        raise RuntimeError("surrogates ran out")
     return spelled.join(given, ["kind", "known"]).select("value", "kind", formatted(F.col("kind"), F.col("value"), F.col("surrogate")).alias("surrogate"))
 
 
