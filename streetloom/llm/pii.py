@@ -13,6 +13,11 @@ left. Surrogates that many attempts find taken lengthen, names and addresses by
 all others by digits or letters behind their format, so that they cannot run out.
 What a document's spans become then follows from a join on the entity.
 
+Not looked for, so left in the text: phones with neither + nor (ddd) ddd-dddd, cards that
+are not four groups of four digits, letters beyond ASCII in addresses (of müller@site.de
+only ller@site.de is replaced), secrets other than AKIA and ASIA keys and 32 to 64
+hexadecimal digits, and names without a form of address.
+
 The key is a parameter; who has it and the table of entities can compute the surrogates,
 nobody else.
 
