@@ -1,13 +1,22 @@
 """Token counts by dynamic programming over a trie of pre-tokens.
 
-A vocabulary with scores splits a pre-token into the pieces with the best total score.
-The forward score of a prefix does not depend on what follows, so the pre-tokens of a
-task are inserted in a trie and each node, a shared prefix, is scored once: its best score,
-and the fewest pieces that reach it. The end of a pre-token then has its count, which is
-stored, and a document adds the counts of its words.
-
-A pre-token is a word with the mark for the space before it. A character that no piece
-covers costs one piece for each of its UTF-8 bytes, below every score of the vocabulary.
+The counts are those of the vocabulary's own library. Its pieces have scores, and the
+forward score of a prefix, that of its best split into pieces, does not depend on what
+follows; so the distinct pre-tokens of a task are inserted in one trie, and each node, a
+prefix that many share, is computed once: its forward score, its last piece and its count.
+The ends of pre-tokens store their counts, and a document adds those of its pre-tokens.
+
+The vocabulary is a merge table: its scores are the places of the merges, not log
+probabilities, and the split with the best total is not the one that merging arrives at.
+A piece therefore extends a prefix only where it may follow the prefix's last piece, that
+is where merging would leave the seam between the two, which leaves one way to reach each
+node. `Trie(..., merged=False)` drops that condition, for vocabularies whose scores are
+log probabilities.
+
+A pre-token is a run of spaces with the word after it; no piece goes on behind a word, and
+characters that occur in no longer piece (line feeds) stand alone. A character without a
+piece costs one piece for each of its UTF-8 bytes. The pieces of several spaces are merged
+last and from the left, so they are counted from the length of the run.
 
 Defined cases: a null or empty text has no tokens; rows are independent, so repeated rows
 and null ids need nothing; an empty table gives no rows; further columns are ignored.
@@ -15,6 +24,7 @@ and null ids need nothing; an empty table gives no rows; further columns are ign
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterator
 
@@ -22,62 +32,177 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship, text_of
+from .common import n_words, ship, text_of
 
 VOCABULARY = "piece_bpe_32k.model"
 MARK = "▁"
-#: Pre-tokens whose counts a task remembers.
-REMEMBERED = 400_000
-_SPACES = " \t\n\x0b\x0c\r"
-
+#: Nodes and stored counts that a task keeps at most; beyond, the trie starts anew.
+NODES = 600_000
+#: Characters beyond which a pre-token leaves no nodes and no count behind.
+LONG = 64
 
-class Trie:
-    """Forward scores of the prefixes of pre-tokens, and the counts at their ends.
+_CHUNKS = re.compile(r" +[^ \n]*|[^ \n]+|\n").findall
 
-    Pre-tokens are inserted in sorted order, which visits the trie depth first: what is kept
-    of it at any time is the path to the last one, and the next one goes on where they part.
-    """
 
-    def __init__(self, scores: dict[str, float]):
-        self.scores = scores
+class Trie:
+    """Forward scores of the prefixes of pre-tokens, and the counts at their ends."""
+
+    def __init__(self, scores: dict[str, float], merged: bool = True):
+        runs = {len(p) for p in scores if len(p) > 1 and not p.strip(MARK)}
+        self.scores = {p: s for p, s in scores.items() if len(p) == 1 or p.strip(MARK)} if merged else dict(scores)
+        self.runs = {1, *runs}
+        #: The pieces that the last merge of each piece joins.
+        self.halves: dict[str, tuple[str, str]] = {}
+        self.merged = merged
+        if merged:
+            for piece in [p for p in self.scores if len(p) > 1]:
+                halves = self._halves(piece)
+                if halves is None:
+                    del self.scores[piece]  # merging never arrives at it
+                else:
+                    self.halves[piece] = halves
         #: All ends of pieces: a search for pieces that end somewhere stops where none goes on.
-        self.ends = {p[i:] for p in scores for i in range(len(p))}
-        self.unknown = min(scores.values(), default=0.0) - 10.0
-        self.terminal: dict[str, int] = {}
+        self.ends = {p[i:] for p in self.scores for i in range(len(p))}
+        self.unknown = min(self.scores.values(), default=0.0) - 10.0
+        self.seams: dict[tuple[str, str], bool] = {}
+        self._start()
 
-    def insert(self, words: list[str]) -> None:
-        """Store the counts of some pre-tokens; those that are known need nothing."""
-        scores, ends, terminal = self.scores, self.ends, self.terminal
-        if len(terminal) > REMEMBERED:
-            terminal.clear()
-        last, best, pieces = "", [0.0], [0]
-        for word in sorted(w for w in words if w not in terminal):
-            shared = 0
-            for x, y in zip(last, word, strict=False):
-                if x != y:
-                    break
-                shared += 1
-            del best[shared + 1 :], pieces[shared + 1 :]
-            for end in range(shared + 1, len(word) + 1):
-                n_bytes = len(word[end - 1].encode("utf-8", "surrogatepass"))
-                top, least = best[end - 1] + self.unknown * n_bytes, pieces[end - 1] + n_bytes
-                start = end - 1
-                while start >= 0 and (part := word[start:end]) in ends:
-                    score = scores.get(part)
-                    if score is not None:
-                        total, count = best[start] + score, pieces[start] + 1
-                        if total > top or total == top and count < least:
-                            top, least = total, count
-                    start -= 1
-                best.append(top)
-                pieces.append(least)
-            terminal[word], last = pieces[-1], word
-
-    def count(self, word: str) -> int:
-        """Pieces of a pre-token."""
-        if word not in self.terminal:
-            self.insert([word])
-        return self.terminal[word]
+    def _start(self) -> None:
+        self.terminal: dict[str, int] = {}
+        #: Child of a node by character; node 0 is the empty prefix.
+        self.child: dict[tuple[int, str], int] = {}
+        self.last, self.total, self.count, self.first = [""], [0.0], [0], [""]
+
+    def _halves(self, piece: str) -> tuple[str, str] | None:
+        parts = list(piece)
+        while len(parts) > 1:
+            joined = [(-self.scores[a + b], i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False)) if a + b in self.scores]
+            if not joined:
+                return None
+            at = min(joined)[1]
+            if len(parts) == 2:
+                return parts[0], parts[1]
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        return None
+
+    def may_follow(self, a: str, b: str) -> bool:
+        """Whether merging leaves a and b apart, decided by undoing their merges, latest first."""
+        known = self.seams.get((a, b))
+        if known is None:
+            if len(self.seams) >= NODES:
+                self.seams.clear()
+            known = self.seams[a, b] = self._seam_holds(a, b)
+        return known
+
+    def _seam_holds(self, a: str, b: str) -> bool:
+        scores, halves = self.scores, self.halves
+        lowest, strict = None, False  # only merges before this one, of a higher score, matter
+        while True:
+            joined = scores.get(a + b) if halves.get(a + b) == (a, b) else None
+            if joined is not None and (lowest is None or joined > lowest or not strict and joined == lowest):
+                return False
+            left, right = halves.get(a), halves.get(b)
+            # of two merges of one score the one further left comes first, so the right one is undone first
+            if right is not None and (left is None or scores[b] <= scores[a]):
+                lowest, strict, b = scores[b], False, right[0]
+            elif left is not None:
+                lowest, strict, a = scores[a], True, left[1]
+            else:
+                return True
+
+    def _node(self, word: str, path: list[int]) -> tuple[str, float, int, str]:
+        """Last piece, forward score, count and first piece of a word whose shorter prefixes are on the path."""
+        end = len(word)
+        best, start = None, end - 1
+        while start >= 0 and (part := word[start:]) in self.ends:
+            score = self.scores.get(part)
+            if score is not None:
+                node = path[start]
+                if not self.merged or not start or self.may_follow(self.last[node], part):
+                    found = (self.total[node] + score, -self.count[node] - 1, part, node)
+                    if best is None or found > best:
+                        best = found
+                    if self.merged:
+                        break  # the only one
+            start -= 1
+        char, node = word[-1], path[end - 1]
+        if char not in self.scores:
+            n_bytes = len(char.encode("utf-8", "surrogatepass"))
+            found = (self.total[node] + self.unknown * n_bytes, -self.count[node] - n_bytes, char, node)
+            if best is None or not self.merged and found > best:
+                best = found
+        total, count, part, node = best
+        return part, total, -count, self.first[node] or part
+
+    def walk(self, word: str) -> int:
+        """The node of a word; nodes that lacked are computed."""
+        path, child = [0], self.child
+        for k, char in enumerate(word, 1):
+            at = child.get((path[-1], char))
+            if at is None:
+                part, total, count, first = self._node(word[:k], path)
+                at = len(self.last)
+                child[path[-1], char] = at
+                self.last.append(part)
+                self.total.append(total)
+                self.count.append(count)
+                self.first.append(first)
+            path.append(at)
+        return path[-1]
+
+    def _spaces(self, n: int) -> int:
+        """Pieces of a run of marks: merged from the left, the longest run being reached over and over."""
+        longest, count = max(self.runs), 0
+        if n > 2 * longest:
+            times = n // longest - 1
+            n, count = n - times * longest, times
+        parts = [1] * n
+        while True:
+            at = next((i for i in range(len(parts) - 1) if parts[i] + parts[i + 1] in self.runs), None)
+            if at is None:
+                return count + len(parts)
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+
+    def pieces(self, chunk: str) -> int:
+        """Pieces of a pre-token: marks, if any, and a word."""
+        known = self.terminal.get(chunk)
+        if known is not None:
+            return known
+        word = chunk.lstrip(MARK)
+        marks = len(chunk) - len(word)
+        if len(self.last) + len(self.terminal) > NODES:
+            self._start()
+        if self.merged and marks and not word:
+            known = self._spaces(marks)
+        elif self.merged and marks > 1:
+            node = self.walk(MARK + word)
+            alone = self.first[node] == MARK  # then the last mark is one of the run
+            known = self.count[node] - 1 + self._spaces(marks) if alone else self.count[node] + self._spaces(marks - 1)
+        else:
+            known = self.count[self.walk(chunk)]
+        if len(chunk) <= LONG:
+            self.terminal[chunk] = known
+        else:
+            self._start()  # what a very long word leaves is of no use to others
+        return known
+
+    def tokens(self, text: str) -> int:
+        """Pieces of a whole text."""
+        if not text:
+            return 0
+        if "\n" in self.ends:
+            raise ValueError("pre-tokens are cut at line feeds, which are part of a piece")
+        total, terminal = 0, self.terminal
+        for chunk, n in Counter(_CHUNKS(" " + text.replace(MARK, " "))).items():
+            if chunk == "\n":
+                total += n
+                continue
+            chunk = chunk.replace(" ", MARK)
+            known = terminal.get(chunk)
+            if known is None:
+                known, terminal = self.pieces(chunk), self.terminal
+            total += known * n
+        return total
 
 
 def read_scores(path: str | None = None) -> dict[str, float]:
@@ -93,14 +218,6 @@ def read_scores(path: str | None = None) -> dict[str, float]:
     return {model.id_to_piece(i): model.get_score(i) for i in ids if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i))}
 
 
-def words_of(text: str) -> Counter:
-    for c in _SPACES[1:]:
-        text = text.replace(c, " ")
-    found = Counter(text.split(" "))
-    found.pop("", None)
-    return found
-
-
 def token_counts(docs: DataFrame, path: str | None = None) -> DataFrame:
     """One row per document: doc_id, n_words, n_tokens."""
     spark = docs.sparkSession
@@ -108,13 +225,10 @@ def token_counts(docs: DataFrame, path: str | None = None) -> DataFrame:
     # the table has the size of the vocabulary file
     sent = spark.sparkContext.broadcast(read_scores(path))
 
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        trie = Trie(sent.value)
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        trie = Trie(sent.value)  # one for the whole task
         for texts in batches:
-            counted = [words_of(x or "") for x in texts]
-            trie.insert(list({MARK + w for c in counted for w in c}))
-            count = trie.terminal
-            yield pd.DataFrame({"n_words": [sum(c.values()) for c in counted], "n_tokens": [sum([count[MARK + w] * n for w, n in c.items()]) for c in counted]}, dtype="int64")
+            yield pd.Series([trie.tokens(x) for x in texts], dtype="int64")
 
-    found = F.pandas_udf(run, "n_words long, n_tokens long")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), found(text_of()).alias("t")).select("doc_id", "t.*")
+    text = text_of()
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), n_words(text).alias("n_words"), F.pandas_udf(run, "long")(text).alias("n_tokens"))
