@@ -1,22 +1,28 @@
 """Quality classifier by supervised subword embeddings, trained with numpy.
 
-Each word and each character n-gram of a word is hashed to a row of a learned table;
-a document is the average of the rows of all its words, a softmax over two classes
-follows, and both layers are trained together by stochastic gradient descent. Because
-the output is linear in the average, scoring needs one number for each row (its share
-of the logit): a word adds the sum over its features, and words repeat, so each task
-remembers the sums of words it has seen, up to a bound.
+Each word and each character n-gram, of a word with its ends marked or across the space
+between two words, is hashed to a row of a learned table; a document is the average of
+the rows of its whole text, a softmax over two classes follows, and both layers are
+trained together by stochastic gradient descent. Because the output is linear in the
+average, scoring needs one number for each row (its share of the logit): a word adds the
+sum over its features, and words repeat, so each task remembers the sums of words it has
+seen, up to a bound.
 
 Only the text enters a score. Labels are learned from rows whose crc32 of the id leaves
-a remainder of 0 or 2 modulo 3; the others are held out.
+a remainder of 0 or 2 modulo 3; the others are held out. Both classes count alike in
+training, however rare one is, so a score is the likelihood of label 1 where both are
+equally frequent.
 
 Parameters: at most `SAMPLE` labelled rows are used for fitting, those with the smallest
-hash of the id (a documented bound; scoring covers every row and the whole text).
-
-Defined cases: a null, empty or blank text has nothing to average and scores 0; a null doc_id counts as the empty string for its remainder; labels
-without a quality, and repeated labels that disagree, are not learned from; with no
-labels, or labels of one class, every score is that class's share (0.5 without any); an
-empty table gives no rows; further columns are ignored.
+hash of the id, and of these as many as hold `SAMPLE_CHARS` code points together
+(documented bounds; scoring covers every row and the whole text).
+
+Defined cases: a null, empty or blank text has nothing to average, so that its score is
+that of the learned bias; a null doc_id counts as the empty string for its remainder;
+labels without a quality, and repeated labels that disagree, are not learned from; with
+no labels, or labels of one class, every score is that class's share (0.5 without any);
+an empty table gives no rows; further columns are ignored, and kept as they are by
+`good`, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,25 +31,25 @@ import math
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from operator import eq
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ship, text_of
+from .common import packed, ship, text_of, unpacked
 
 SAMPLE = 4096
+SAMPLE_CHARS = 50_000_000
 ROWS_LOG2 = 17
 DIM = 8
 GRAMS = (2, 4)
 EPOCHS = 6
 RATE = 0.5
+#: Rate of the bias, as a share of the others.
+BIAS_RATE = 0.01
 #: Words in each half of a task's memory.
 REMEMBERED = 200_000
-#: Stands for the bigram of a word with itself, whatever the word.
-AGAIN = "\x00again\x00"
 
 
 def held_out(doc_id: Column) -> Column:
@@ -51,8 +57,14 @@ def held_out(doc_id: Column) -> Column:
 
 
 def hashes(word: str) -> list[int]:
-    """Rows of the table for a word: the word itself and its n-grams, with its ends marked."""
-    marked, crc, mask = f"<{word}>", zlib.crc32, (1 << ROWS_LOG2) - 1
+    """Rows of the table for a word: the word itself and its n-grams, with its ends marked.
+
+    An n-gram across two words, which has a space, is one row.
+    """
+    crc, mask = zlib.crc32, (1 << ROWS_LOG2) - 1
+    if " " in word:
+        return [crc(word.encode("utf-8", "surrogatepass")) & mask]
+    marked = f"<{word}>"
     data = marked.encode("utf-8", "surrogatepass")
     low, high = GRAMS
     if len(data) == len(marked):  # ASCII: n-grams are slices of the bytes
@@ -65,11 +77,11 @@ def features(word: str) -> np.ndarray:
 
 
 def words_of(text: str) -> Counter:
-    """Words and their counts; a word that follows itself counts as one more, hashed as `AGAIN`."""
+    """Words, and the n-grams of the last character of a word, a space and the first of the next; with their counts."""
     words = text.split()
     counts = Counter(words)
-    if again := sum(map(eq, words, words[1:])):
-        counts[AGAIN] += again
+    for (last, first), n in Counter(zip([w[-1] for w in words], [w[0] for w in words[1:]], strict=False)).items():
+        counts[f"{last} {first}"] = n
     return counts
 
 
@@ -98,11 +110,11 @@ def train(texts: list[str], labels: list[int], epochs: int = EPOCHS, seed: int =
         return np.zeros(size), float(np.log(share / (1 - share)))
     rng = np.random.default_rng(seed)
     table = rng.uniform(-1 / DIM, 1 / DIM, (size, DIM))
-    out = rng.uniform(-1 / DIM, 1 / DIM, (DIM, 2))
+    out, bias = rng.uniform(-1 / DIM, 1 / DIM, (DIM, 2)), np.zeros(2)
     memory: dict = {}
     docs = [counted(t, memory) for t in texts]
     y = np.asarray(labels)
-    # both classes count alike in total, so that a rare one is learned too; the prior returns below
+    # both classes count alike in total, so that a rare one is learned too
     balance = len(y) / (2 * np.bincount(y, minlength=2))
     steps, at = epochs * len(docs), 0
     for _ in range(epochs):
@@ -111,15 +123,16 @@ def train(texts: list[str], labels: list[int], epochs: int = EPOCHS, seed: int =
             rate = RATE * (1 - at / steps)
             at += 1
             hidden = share @ table[ids]
-            logits = hidden @ out
+            logits = hidden @ out + bias
             p = np.exp(logits - logits.max())
             p /= p.sum()
             p[y[k]] -= 1
             p *= min(balance[y[k]], 4.0)
             table[ids] -= rate * len(ids) ** 0.5 * np.outer(share, out @ p)
             out -= rate * np.outer(hidden, p)
+            bias -= rate * BIAS_RATE * p
     margin = out[:, 1] - out[:, 0]
-    return table @ margin, 0.0
+    return table @ margin, float(bias[1] - bias[0])
 
 
 def scorer(shares: np.ndarray, bias: float):
@@ -147,7 +160,7 @@ def scorer(shares: np.ndarray, bias: float):
                         newer[word] = got
                     total += got[0] * times
                     n += got[1] * times
-                found.append(1 / (1 + math.exp(-min(max(total / n + bias, -50), 50))) if n else 0.0)
+                found.append(1 / (1 + math.exp(-min(max(total / max(n, 1) + bias, -50), 50))))
             yield pd.Series(found, dtype="float64")
 
     return score
@@ -158,24 +171,24 @@ def sample(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> tuple[lis
     agreed = labels.filter("quality in (0, 1)").groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.min("quality").alias("low"), F.max("quality").alias("high")).filter("low = high")
     chosen = agreed.filter(~held_out(F.col("_id"))).orderBy(F.xxhash64("_id"), "_id").limit(bound)
     rows = docs.select(F.col("doc_id").cast("long").alias("_id"), text_of().alias("text")).join(chosen, "_id").groupBy("_id").agg(F.min("text").alias("text"), F.first("low").alias("label"))
-    got = sorted(rows.collect())
+    # at most `bound` rows meet in this window; their texts together are cut before they reach the driver
+    so_far = F.sum(F.length("text")).over(Window.orderBy(F.xxhash64("_id"), "_id"))
+    got = sorted(rows.withColumn("so_far", so_far).filter(F.col("so_far") <= SAMPLE_CHARS).collect())
     return [r["text"] for r in got], [int(r["label"]) for r in got]
 
 
-def with_score(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE, name: str = "score") -> DataFrame:
-    """The documents with the column `score`, 0 to 1."""
-    spark = docs.sparkSession
-    ship(spark)
-    shares, bias = train(*sample(docs, labels, bound))
-    return docs.withColumn(name, F.pandas_udf(scorer(shares, bias), "double")(text_of()))
+def score_of(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE):
+    """A function from a text column to its score, 0 to 1, fitted on the labels of some documents."""
+    ship(docs.sparkSession)
+    return F.pandas_udf(scorer(*train(*sample(docs, labels, bound))), "double")
 
 
 def scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """One row per document: doc_id, held_out, score, predicted."""
-    scored = with_score(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), labels)
+    scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), score_of(docs, labels)(text_of()).alias("score"))
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).cast("int").alias("predicted"))
 
 
 def good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that the classifier does not reject, all columns as they were."""
-    return with_score(docs, labels, name="_score").filter("_score >= 0.5").select(*docs.columns)
+    return unpacked(packed(docs, score=score_of(docs, labels)(text_of())).filter("score >= 0.5"))
