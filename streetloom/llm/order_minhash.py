@@ -11,9 +11,9 @@ A fingerprint is the list of its bins that are not empty, six hexadecimal digits
 two for the bin, four for the tuple. Likeness is the share of equal components among the
 bins that at least one of the two has; two fingerprints without any are alike.
 
-Occurrences are numbered without a shuffle and without row-by-row state: the hashes of a
-text carry their position in the low bits, sorting them brings equal k-mers together in
-text order, and the numbers follow from where each run begins.
+Occurrences are numbered without a shuffle and without row-by-row state: the k-mers of a
+text are pairs of hash and position, sorting them brings equal k-mers together in text
+order, and the numbers follow from where each run begins.
 
 Defined cases: a null or empty text has no k-mers and an empty fingerprint; fewer than k
 words are one k-mer; a null doc_id comes after every other id; rows that share a doc_id
@@ -31,23 +31,11 @@ from .common import WORD, checkpoint, ordered_blocks, text_of
 
 K = 5
 BIN_BITS = 6
-POSITION_BITS = 24
-BLOCKS = 64
-_LOW = (1 << POSITION_BITS) - 1
 _NULL = "cast('-9223372036854775809' as decimal(20,0))"
 
 
-def _packed(value: Column, position: Column) -> Column:
-    """A hash with a position in its low bits."""
-    return value.bitwiseAND(F.lit(~_LOW)).bitwiseOR(position.bitwiseAND(F.lit(_LOW)))
-
-
-def _position(x: Column) -> Column:
-    return x.bitwiseAND(F.lit(_LOW))
-
-
-def _hashed(x: Column) -> Column:
-    return F.shiftright(x, POSITION_BITS)
+def _placed(value: Column, position: Column) -> Column:
+    return F.struct(value.alias("h"), position.cast("int").alias("i"))
 
 
 def with_components(df: DataFrame, text: str, name: str, k: int = K) -> DataFrame:
@@ -63,26 +51,27 @@ def with_components(df: DataFrame, text: str, name: str, k: int = K) -> DataFram
     get = lambda a, i: F.get(col(a), i)
     df = df.withColumn(w, F.transform(F.regexp_extract_all(col(text), F.lit(WORD), F.lit(0)), lambda x: F.xxhash64(x)))
     long_enough = F.size(w) >= k
-    kmers = F.transform(F.slice(col(w), 1, F.greatest(F.size(w) - (k - 1), F.lit(0))), lambda x, i: _packed(F.xxhash64(x, *(get(w, i + j) for j in range(1, k))), i.cast("long")))
+    kmers = F.transform(F.slice(col(w), 1, F.greatest(F.size(w) - (k - 1), F.lit(0))), lambda x, i: _placed(F.xxhash64(x, *(get(w, i + j) for j in range(1, k))), i))
     # fewer words: hashed together as one k-mer at position 0
-    whole = F.array(_packed(F.aggregate(col(w), F.lit(42).cast("long"), lambda a, x: F.xxhash64(a, x)), F.lit(0).cast("long")))
-    df = df.withColumn(m, F.when(long_enough, kmers).when(F.size(w) > 0, whole).otherwise(F.array().cast("array<bigint>")))
+    whole = F.array(_placed(F.aggregate(col(w), F.lit(42).cast("long"), lambda a, x: F.xxhash64(a, x)), F.lit(0)))
+    df = df.withColumn(m, F.when(long_enough, kmers).when(F.size(w) > 0, whole).otherwise(F.slice(whole, 1, 0)))
     df = df.withColumn(s, F.sort_array(m))
-    starts = F.filter(F.transform(col(s), lambda x, i: F.when((i == 0) | (_hashed(x) != _hashed(get(s, i - 1))), i).otherwise(F.lit(-1))), lambda i: i >= 0)
+    starts = F.filter(F.transform(col(s), lambda x, i: F.when((i == 0) | (x["h"] != get(s, i - 1)["h"]), i).otherwise(F.lit(-1))), lambda i: i >= 0)
     df = df.withColumn(at, starts)
     numbers = F.flatten(F.transform(col(at), lambda a, j: F.sequence(F.lit(0), F.coalesce(get(at, j + 1), F.size(s)) - a - 1)))
     df = df.withColumn(occ, numbers)
-    df = df.withColumn(v, F.sort_array(F.zip_with(col(s), col(occ), lambda x, o: _packed(F.xxhash64(_hashed(x), o), _position(x)))))
+    df = df.withColumn(v, F.sort_array(F.zip_with(col(s), col(occ), lambda x, o: _placed(F.xxhash64(x["h"], o), x["i"]))))
     # sorted hashes have their bins in runs: the first two of each run stay
-    df = df.withColumn(sel, F.filter(col(v), lambda x, i: (i < 2) | (F.shiftright(x, top) != F.shiftright(get(v, i - 2), top))))
+    bin_of = lambda x: F.shiftright(x["h"], top)
+    df = df.withColumn(sel, F.filter(col(v), lambda x, i: (i < 2) | (bin_of(x) != bin_of(get(v, i - 2)))))
 
     def component(x: Column, i: Column) -> Column:
         after = get(sel, i + 1)
-        paired = after.isNotNull() & (F.shiftright(after, top) == F.shiftright(x, top))
-        first = (i == 0) | (F.shiftright(x, top) != F.shiftright(get(sel, i - 1), top))
-        ordered = F.when(_position(x) < _position(after), F.xxhash64(_hashed(x), _hashed(after))).otherwise(F.xxhash64(_hashed(after), _hashed(x)))
-        value = F.when(paired, ordered).otherwise(F.xxhash64(_hashed(x)))
-        return F.when(first, F.shiftleft(F.shiftrightunsigned(x, top), 16).bitwiseOR(value.bitwiseAND(F.lit(0xFFFF))))
+        paired = after.isNotNull() & (bin_of(after) == bin_of(x))
+        first = (i == 0) | (bin_of(x) != bin_of(get(sel, i - 1)))
+        ordered = F.when(x["i"] < after["i"], F.xxhash64(x["h"], after["h"])).otherwise(F.xxhash64(after["h"], x["h"]))
+        value = F.when(paired, ordered).otherwise(F.xxhash64(x["h"]))
+        return F.when(first, F.shiftleft(F.shiftrightunsigned(x["h"], top), 16).bitwiseOR(value.bitwiseAND(F.lit(0xFFFF))))
 
     df = df.withColumn(name, F.filter(F.transform(col(sel), component), lambda x: x.isNotNull()))
     return df.drop(w, m, s, at, occ, v, sel)
@@ -103,7 +92,7 @@ def _key(doc_id: Column) -> Column:
     return F.coalesce(doc_id.cast("long").cast("decimal(20,0)"), F.expr(_NULL))
 
 
-def next_documents(docs: DataFrame, blocks: int = BLOCKS) -> DataFrame:
+def next_documents(docs: DataFrame, blocks: int | None = None) -> DataFrame:
     """For each id (key): the id that comes next, and half the code points of its longest text."""
     halves = docs.groupBy(_key(F.col("doc_id")).alias("key")).agg(F.max(F.floor(F.length(text_of()) / 2)).cast("int").alias("need"))
     blocked = ordered_blocks(halves, [F.col("key").desc()], blocks)
