@@ -12,12 +12,13 @@ if that brings the sum nearer to it. Documents are taken whole.
 A source may hold a third of all rows, so running sums never gather a source in one task:
 rows are range-partitioned by (source, key) into blocks, blocks are summed, and each row
 adds its block's offset to the running sum inside its block. The positions of sources, which
-decide weights, come from the same device.
+decide weights, and the level to which sources are filled come from the same device.
 
 Defined cases: a null text has no words; a null source is a source of its own, the last; a
-null doc_id has a key like any other; repeated rows are documents of their own and those
-that tie are taken in any order, which gives equal counts of equal rows; a document without
-words is taken zero words; an empty table gives no rows; further columns are ignored.
+null doc_id has a key like any other; repeated rows are documents of their own, and those
+that tie in id, text and source are taken in the order of their other columns; a document
+without words is taken zero words; an empty table gives no rows; further columns are
+ignored, and kept as they are by `mixed`, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,12 +26,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, block_offsets, checkpoint, n_words, ordered_blocks, text_of
+from .common import SPACE, block_offsets, checkpoint, n_words, ordered_blocks, packed, row_hash, text_of, unpacked
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 MOST = 2.0
-BLOCKS = 64
 SEED = "mix"
 
 
@@ -48,30 +48,32 @@ def uniform(doc_id: Column, seed: str = SEED) -> Column:
     return (bits + F.lit(0.5)) / F.lit(float(1 << 52))
 
 
-def _sources(sized: DataFrame, weights: tuple[int, ...], share: float, most: float, blocks: int) -> DataFrame:
+def _earlier(blocked: DataFrame, order: list[Column], value: Column) -> DataFrame:
+    """The blocked rows with the sum of a value over all rows before them (`before`)."""
+    inside = F.sum(value).over(Window.partitionBy("_block").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+    summed = blocked.withColumn("before", F.coalesce(inside, F.lit(0))).join(block_offsets(blocked, [], value), "_block")
+    return summed.withColumn("before", F.col("before") + F.col("_before")).drop("_before", "_block")
+
+
+def _sources(sized: DataFrame, weights: tuple[int, ...], share: float, most: float, blocks: int | None) -> DataFrame:
     """One row per source: source, source_size, target."""
     order = [F.col("source").isNull(), F.col("source")]
     sums = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
-    blocked = ordered_blocks(sums, order, blocks)
-    nth = F.row_number().over(Window.partitionBy("_block").orderBy(*order)) - 1
-    ranked = blocked.join(block_offsets(blocked, [], F.lit(1)), "_block").withColumn("nth", F.col("_before") + nth)
-    weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("nth") % len(weights) + 1).cast("int"))
+    ranked = _earlier(ordered_blocks(sums, order, blocks), order, F.lit(1))
+    weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("before") % len(weights) + 1).cast("int"))
     table = checkpoint(ranked.select("source", "source_size", weight.cast("double").alias("weight"), (F.col("source_size") * F.lit(float(most))).alias("cap")))
-    total = table.agg(F.sum("source_size")).first()[0] or 0
-    level = 0.0
-    while True:  # the level only rises, so no source leaves the cap again
-        capped = F.col("cap") < F.col("weight") * F.lit(level)
-        full, free, n = table.agg(F.sum(F.when(capped, F.col("cap")).otherwise(0.0)), F.sum(F.when(capped, 0.0).otherwise(F.col("weight"))), F.count_if(capped)).first()
-        if not free:
-            break
-        raised = (share * total - full) / free
-        if raised <= level:
-            break
-        level = raised
-    return table.select("source", "source_size", F.least(F.col("cap"), F.col("weight") * F.lit(level)).alias("target"))
-
-
-def mix(docs: DataFrame, quality: Column | None = None, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, seed: str = SEED, blocks: int = BLOCKS) -> DataFrame:
+    total, heft = table.agg(F.sum("source_size"), F.sum("weight")).first()
+    # filled in the order in which sources reach their caps; the level that is left when the
+    # first ones are capped is highest where exactly those are capped that must be
+    filling = [F.col("cap") / F.col("weight"), *order]
+    filled = ordered_blocks(table, filling, blocks)
+    full = _earlier(filled, filling, F.col("cap")).select("source", F.col("before").alias("full"))
+    light = _earlier(filled, filling, F.col("weight")).select(F.col("source").alias("_source"), F.col("before").alias("light"))
+    level = full.join(light, F.col("source").eqNullSafe(F.col("_source"))).agg(F.max((F.lit(float(share)) * F.lit(float(total or 0)) - F.col("full")) / (F.lit(float(heft or 0)) - F.col("light")))).first()[0]
+    return table.select("source", "source_size", F.least(F.col("cap"), F.col("weight") * F.lit(float(level or 0))).alias("target"))
+
+
+def mix(docs: DataFrame, quality: Column | None = None, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, seed: str = SEED, blocks: int | None = None) -> DataFrame:
     """One row per document: doc_id, h (hash of the text), source, size, source_size, target, copies, taken."""
     text = text_of()
     rows = docs.select(
@@ -80,8 +82,9 @@ def mix(docs: DataFrame, quality: Column | None = None, weights: tuple[int, ...]
         F.col("source").cast("string").alias("source"),
         n_words(text).alias("size"),
         (-F.log(uniform(F.col("doc_id"), seed)) / (quality_weight(text) if quality is None else quality.cast("double"))).alias("key"),
+        F.monotonically_increasing_id().alias("uid"),  # written with the rows; cuts even full repetitions into blocks
     )
-    order = ["key", "doc_id", "h"]
+    order = ["key", "doc_id", "h", "uid"]
     blocked = ordered_blocks(rows, [F.col("source"), *map(F.col, order)], blocks)
     sources = _sources(blocked, weights, share, most, blocks)
     same = lambda a, b: a["source"].eqNullSafe(b["source"])
@@ -101,17 +104,17 @@ def mix(docs: DataFrame, quality: Column | None = None, weights: tuple[int, ...]
 
 def mixed(docs: DataFrame) -> DataFrame:
     """The documents as often as the mix takes them, all columns as they were."""
-    names = docs.columns
     chosen = mix(docs)
-    # rows of one (id, text, source) may differ in copies: they are numbered on both sides
-    numbered = Window.partitionBy("_i", "_h", "_s").orderBy("_c")
-    taken = chosen.select(F.col("doc_id").alias("_i"), F.col("h").alias("_h"), F.col("source").alias("_s"), F.col("copies").alias("_c"))
-    taken = taken.withColumn("_n", F.row_number().over(numbered)).select(*(F.col(c).alias(c + "t") for c in ("_i", "_h", "_s", "_n")), "_c")
-    keyed = docs.withColumns({"_i": F.col("doc_id").cast("long"), "_h": F.xxhash64(text_of()), "_s": F.col("source").cast("string")})
-    keyed = keyed.withColumn("_n", F.row_number().over(Window.partitionBy("_i", "_h", "_s").orderBy(F.lit(1))))
-    match = [keyed[c].eqNullSafe(taken[c + "t"]) for c in ("_i", "_h", "_s", "_n")]
-    hit = keyed.join(taken, match[0] & match[1] & match[2] & match[3]).filter("_c > 0")
-    return hit.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_c")))).select(*names)
+    # rows of one (id, text, source) may differ in copies: they are numbered on both sides,
+    # in the order of all their columns, so that rows that differ always get the same copies
+    key = ["id", "none", "h", "s", "alone"]
+    ids = {"id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "none": F.col("doc_id").isNull(), "s": F.coalesce(F.col("source").cast("string"), F.lit("")), "alone": F.col("source").isNull()}
+    taken = chosen.select(*(c.alias(name) for name, c in ids.items()), "h", "copies")
+    taken = taken.withColumn("n", F.row_number().over(Window.partitionBy(*key).orderBy("copies")))
+    keyed = packed(docs, **ids, h=F.xxhash64(text_of()), o=row_hash(docs))
+    keyed = keyed.withColumn("n", F.row_number().over(Window.partitionBy(*key).orderBy("o")))
+    hit = keyed.join(taken, [*key, "n"]).filter("copies > 0")
+    return unpacked(hit.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy")))
 
 
 ORACLE = r"""
