@@ -10,22 +10,24 @@ stage groups by digest AND content, so a digest alone never decides:
    over that many reducers, of one row a task each;
 3. global: the at most `salts` winners of each content meet.
 
+Every row then finds its group by the digest, a hot one in as many tasks as there are salts.
+
 The winner is held as one decimal, code points first and then the inverted id, so the
 aggregation stays a hash aggregation with fixed-width buffers.
 
 Defined cases: a null text counts as empty, and empty and all-blank texts are equal
 to each other; a null doc_id ranks after every other id; of fully repeated rows
-exactly one is kept; an empty table gives no rows; further columns are ignored.
+exactly one is kept; an empty table gives no rows; further columns are ignored, and kept
+as they are by `exact_dedup`, whatever their names.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, checkpoint, text_of
+from .common import SALTS, SPACE, checkpoint, packed, spread_join, text_of, unpacked
 
-SALTS = 16
 _UNIT = "cast('100000000000000000000' as decimal(21,0))"
 _TOP = "cast('9223372036854775808' as decimal(20,0))"
 
@@ -58,32 +60,49 @@ def winners(docs: DataFrame, salts: int = SALTS) -> DataFrame:
 def exact_groups(docs: DataFrame, salts: int = SALTS) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256, and n (code points)."""
     n_keep, keep_id = _unrank(F.col("rank"))
+    rows = checkpoint(_keyed(docs).select("doc_id", "n", "digest", F.monotonically_increasing_id().alias("uid")))
     # contents that share a digest are told apart by their content; all others need it no more
-    found = winners(docs, salts)
-    one = found.groupBy("digest").agg(F.count(F.lit(1)).alias("contents"), F.max("rank").alias("rank"), F.max("size").alias("size"))
-    groups = checkpoint(one.select("digest", "contents", "rank", "size"))
-    rows = _keyed(docs)
-    joined = rows.select("doc_id", "n", "digest").join(groups.filter("contents = 1"), "digest")
+    one = winners(docs, salts).groupBy("digest").agg(F.count(F.lit(1)).alias("contents"), F.max("rank").alias("rank"), F.max("size").alias("size"))
+    groups = checkpoint(one.filter("size > 1 or contents > 1"))
     clashing = groups.filter("contents > 1").select("digest")
-    if not clashing.isEmpty():
+    if clashing.isEmpty():
+        joined = spread_join(rows, groups.drop("contents"), "digest", salts)
+    else:
+        joined = spread_join(rows.join(clashing, "digest", "left_anti"), groups.filter("contents = 1").drop("contents"), "digest", salts)
         apart = winners(docs, salts).join(clashing, "digest")
-        joined = joined.unionByName(rows.join(apart, ["digest", "content"]).select("doc_id", "n", "digest", F.lit(2).cast("long").alias("contents"), "rank", "size"), allowMissingColumns=True)
-    told = joined.select("doc_id", keep_id.alias("keep_id"), F.col("size").alias("group_size"), (F.col("doc_id").eqNullSafe(keep_id) & (F.col("n") == n_keep)).alias("best"), F.col("digest").alias("text_sha256"), F.col("n"))
-    # repeated rows of the winner: the window holds copies of one (id, text) only
-    nth = F.row_number().over(Window.partitionBy("text_sha256", "doc_id", "best").orderBy("n"))
-    return told.withColumn("kept", F.col("best") & (nth == 1)).drop("best")
+        told = _keyed(docs).withColumn("uid", -F.monotonically_increasing_id() - 1).join(apart, ["digest", "content"])
+        joined = joined.unionByName(told.select(*joined.columns))
+    # a row without a group is the only one of its text
+    alone = F.col("rank").isNull()
+    told = checkpoint(
+        joined.select(
+            "doc_id",
+            F.when(alone, F.col("doc_id")).otherwise(keep_id).alias("keep_id"),
+            F.coalesce("size", F.lit(1)).cast("long").alias("group_size"),
+            (alone | (F.col("doc_id").eqNullSafe(keep_id) & (F.col("n") == n_keep))).alias("best"),
+            F.col("digest").alias("text_sha256"),
+            "n",
+            "uid",
+        )
+    )
+    # repeated rows of the winner: the first of them stays
+    first = told.filter("best and group_size > 1").groupBy("text_sha256", "keep_id", "n").agg(F.min("uid").alias("uid"), F.count(F.lit(1)).alias("repeats"))
+    others = told.filter("best").join(first.filter("repeats > 1").select("text_sha256", F.col("keep_id").alias("_id"), "n", F.col("uid").alias("_first")), ["text_sha256", "n"]).filter(F.col("keep_id").eqNullSafe(F.col("_id")) & (F.col("uid") != F.col("_first")))
+    dropped = others.select("uid", F.lit(True).alias("again"))
+    kept = F.col("best") & F.col("again").isNull()
+    return told.join(dropped, "uid", "left").select("doc_id", "keep_id", "group_size", kept.alias("kept"), "text_sha256", "n")
 
 
 def exact_dedup(docs: DataFrame, salts: int = SALTS) -> DataFrame:
     """The documents that stay, all columns as they were."""
-    names = docs.columns
-    kept = exact_groups(docs, salts).filter("kept").select(F.col("doc_id").alias("_id"), F.col("n").alias("_n"), F.col("text_sha256").alias("_digest"))
+    id_ = {"id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "none": F.col("doc_id").isNull()}
+    kept = exact_groups(docs, salts).filter("kept").select(*(c.alias(name) for name, c in id_.items()), "n", F.col("text_sha256").alias("digest"))
     text = text_of()
-    keyed = docs.withColumns({"_i": F.col("doc_id").cast("long"), "_l": F.length(text), "_d": F.sha2(F.regexp_replace(text, SPACE + "+", ""), 256)})
-    hit = keyed.join(kept, F.col("_i").eqNullSafe(F.col("_id")) & (F.col("_l") == F.col("_n")) & (F.col("_d") == F.col("_digest")))
-    # full repetitions of a kept row meet here under their own key
-    nth = F.row_number().over(Window.partitionBy("_i", "_l", "_d").orderBy(F.xxhash64(text)))
-    return hit.withColumn("_nth", nth).filter("_nth = 1").select(*names)
+    keyed = packed(docs, **id_, n=F.length(text), digest=F.sha2(F.regexp_replace(text, SPACE + "+", ""), 256), h=F.xxhash64(text))
+    key = ["id", "none", "n", "digest"]
+    # full repetitions meet in the aggregation, one of a task
+    once = keyed.groupBy(*key).agg(F.min_by("row", "h").alias("row"))
+    return unpacked(once.join(kept, key, "left_semi"))
 
 
 ORACLE = r"""
