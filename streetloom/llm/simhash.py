@@ -1,23 +1,28 @@
 """SimHash near-duplicates through a byte-position inverted index with count filtering.
 
-A fingerprint has eight bytes. Two that differ in at most d = 2 bits differ in at most
-two bytes, so they share at least 8 - 2 = 6 (position, byte) postings: the guaranteed
-minimum. Lists of single postings would hold 1/256 of all rows each, and tallying them
-pair by pair grows with the square of the input; the index therefore holds the counts
-that matter as its keys: one entry for each set of six positions with their bytes, 28 a
-fingerprint. Sharing m bytes means sharing C(m, 6) entries, so exactly the pairs with a
-tally of six or more meet. In an entry the two free bytes differ, so an entry has at
-most 65,536 distinct fingerprints whatever the corpus, and the kernel that tallies and
-verifies inside it has bounded memory. It returns stars, not pairs: inside large entries
-it looks up the 136 words within two bits instead of comparing all rows.
-
-Copies collapse to distinct fingerprints first, components are found on those, and
-documents get their component by a join on the fingerprint.
+A fingerprint has eight bytes, and the index lists, for each (position, byte), the
+fingerprints that have it there. Two that differ in at most d = 2 bits differ in at most
+two bytes, so they are in at least 8 - 2 = 6 lists together: the guaranteed minimum.
+
+Lists of single postings hold 1/256 of all fingerprints each, and tallying them pair by
+pair would grow with the square of the input. Count filtering shortens them: postings are
+ordered by the length of their lists, the shortest first; of two fingerprints that share
+six of their eight postings, the six rarest of each have four in common. So each goes
+into the intersections of any four of its six rarest lists, 15 of them, and all pairs
+that reach the minimum meet in one. There the shared positional bytes of each pair are
+tallied over all eight positions, pairs with six or more are retained, and their bits
+are compared. What leaves a list are stars, not pairs: at most one link a member.
+
+A list is read as a sorted stream. One that is longer than `LISTED` is not held: its
+members go to the intersections of six lists instead, 28 a fingerprint, which have at
+most 65,536 distinct members whatever the corpus, as only two bytes are free, and are
+tallied in the same way. Copies collapse to distinct fingerprints first.
 
 Defined cases: null and empty texts have fingerprint zero and are linked like any other;
 fewer than three words are one shingle; a null doc_id never names a component unless all
-its members are null; repeated rows are kept; an empty table gives no rows; further
-columns are ignored.
+its members are null; repeated rows are kept by `near_duplicates`, and one of them by
+`near_dedup`; an empty table gives no rows; further columns are ignored, and kept as they
+are by `near_dedup`, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,10 +32,10 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, components, ship, text_of
+from .common import checkpoint, components, packed, row_hash, ship, spread_join, text_of, unpacked
 
 SEED = 42
 SHINGLE = 3
@@ -41,8 +46,13 @@ MIN_MATCHES = BYTES - MAX_BITS
 CHUNK = 16384
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
-#: Sets of positions that an index entry holds; the other two bytes are free.
-ENTRIES = [tuple(sorted(x)) for x in combinations(range(BYTES), MIN_MATCHES)]
+#: Lists that are intersected at first, of the rarest ones of a fingerprint.
+MET = 4
+RAREST = BYTES - MIN_MATCHES + MET
+#: Members up to which a list is held.
+LISTED = 4096
+#: Pairs that are tallied at a time.
+PAIRS = 1 << 20
 
 
 def fingerprint(text: str | None, size: int = SHINGLE) -> int:
@@ -75,34 +85,31 @@ def _fingerprints(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 
 def with_fingerprint(docs: DataFrame) -> DataFrame:
-    """The rows' doc_id, fingerprint (fp, signed) and a hash of the text (h)."""
+    """The rows' doc_id, fingerprint (fp, signed) and a number of their own (uid)."""
     ship(docs.sparkSession)
     found = F.pandas_udf(_fingerprints, "long")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_of()).alias("h"), found(text_of()).alias("fp"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), found(text_of()).alias("fp"), F.monotonically_increasing_id().alias("uid"))
 
 
 def stars(values: np.ndarray) -> list[tuple[int, int]]:
-    """Links (value, root) inside one index entry; values differ in the entry's free bytes only."""
+    """Links (value, root) between the members of a list that share enough bytes and differ in few bits."""
     v = np.unique(np.asarray(values, np.int64))
     n = len(v)
-    if n < 2:
-        return []
-    root = np.arange(n)
-    if n <= 64:
-        x = (v[:, None] ^ v[None, :]).view(np.uint64)
-        tally = (x[..., None].view(np.uint8).reshape(n, n, BYTES) == 0).sum(-1)
-        i, j = np.nonzero((tally >= MIN_MATCHES) & (np.bitwise_count(x) <= MAX_BITS))
-    else:  # look up the words within two bits, in the bits that differ at all
-        free = [b for b in range(64) if int(np.bitwise_or.reduce(v ^ v[0]).view(np.uint64)) >> b & 1]
-        flips = [1 << b for b in free] + [1 << a | 1 << b for a, b in combinations(free, 2)]
-        left, right = [], []
-        for f in flips:
-            other = v ^ np.uint64(f).view(np.int64)
-            at = np.minimum(np.searchsorted(v, other), n - 1)
-            hit = np.flatnonzero(v[at] == other)
-            left.append(hit)
-            right.append(at[hit])
-        i, j = np.concatenate(left), np.concatenate(right)
+    if n == 2:  # most lists
+        x = int(v[0] ^ v[1]) & (1 << 64) - 1
+        shared = x.to_bytes(8, "big").count(0)
+        return [(int(v[1]), int(v[0]))] if shared >= MIN_MATCHES and x.bit_count() <= MAX_BITS else []
+    root, step = np.arange(n), max(1, PAIRS // max(n, 1))
+    found = []
+    for start in range(0, n, step):
+        x = (v[start : start + step, None] ^ v[None, :]).view(np.uint64)
+        tally = (x.view(np.uint8).reshape(len(x), n, BYTES) == 0).sum(-1, dtype=np.uint8)
+        i, j = np.nonzero(tally >= MIN_MATCHES)
+        i, j = (k[np.bitwise_count(x[i, j]) <= MAX_BITS] for k in (i, j))
+        i = i + start
+        found.append((i[i < j], j[i < j]))
+    i, j = (np.concatenate(k) for k in zip(*found, strict=True)) if found else (root, root)
+    i, j = np.concatenate([i, j]), np.concatenate([j, i])
     while True:  # smallest label by hooking and jumping
         low = root.copy()
         np.minimum.at(low, i, root[j])
@@ -113,49 +120,141 @@ def stars(values: np.ndarray) -> list[tuple[int, int]]:
     return [(int(a), int(b)) for a, b in zip(v, v[root], strict=True) if a != b]
 
 
-def _links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        found = {x for values in batch["fps"] for x in stars(values)}
-        yield pd.DataFrame(list(found), columns=["a", "b"], dtype="int64")
+def entries(fps: np.ndarray, place: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Intersections of lists (which: a bit a position, held: the bytes there) and the fingerprint of each.
+
+    With the places of the lists in order of length (positions x bytes) of any four of the
+    six shortest, else of any six.
+    """
+    fps = np.asarray(fps, np.int64)
+    data = fps.astype(">i8").view(np.uint8).reshape(-1, BYTES)
+    if place is None:
+        chosen, size = np.broadcast_to(np.arange(BYTES), data.shape), MIN_MATCHES
+    else:
+        chosen, size = np.argsort(place[np.arange(BYTES), data], axis=1)[:, :RAREST], MET
+    which, held = [], []
+    for members in combinations(range(chosen.shape[1]), size):
+        positions = chosen[:, members]
+        which.append(np.bitwise_or.reduce(1 << positions, axis=1).astype(np.int16))
+        masks = np.bitwise_or.reduce(np.uint64(255) << (8 * (BYTES - 1 - positions)).astype(np.uint64), axis=1)
+        held.append((fps.view(np.uint64) & masks).view(np.int64))
+    return np.concatenate(which), np.concatenate(held), np.tile(fps, len(which))
+
+
+def _lists(limit: int | None):
+    """Links (a, b) of sorted lists; b is null where a is in a list beyond the limit."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        kept, over = [], None  # parts of the list that the last batch ended in, and the one that is too long
+
+        def told(members: np.ndarray) -> list[tuple[int, int | None]]:
+            if limit is not None and len(members) > limit:
+                return [(int(x), None) for x in members]
+            return stars(members)
+
+        last = None
+        for batch in batches:
+            which, held, fps = (batch[c].to_numpy() for c in ("which", "held", "fp"))
+            if not len(fps):
+                continue
+            cut = np.flatnonzero((which[1:] != which[:-1]) | (held[1:] != held[:-1])) + 1
+            starts, ends, out = np.concatenate([[0], cut]), np.concatenate([cut, [len(fps)]]), []
+            if last is not None and last != (which[0], held[0]):
+                if sum(map(len, kept)) > 1:
+                    out += told(np.concatenate(kept))
+                kept, over = [], None
+            first = slice(starts[0], ends[0])
+            kept.append(fps[first])
+            if len(starts) > 1:  # the first list of the batch is complete, and so are all but the last
+                if over == (which[0], held[0]):
+                    out += [(int(x), None) for x in fps[first]]
+                elif sum(map(len, kept)) > 1:
+                    out += told(np.concatenate(kept))
+                for k in np.flatnonzero(ends[1:-1] - starts[1:-1] > 1) + 1:
+                    out += told(fps[starts[k] : ends[k]])
+                kept, over = [fps[starts[-1] : ends[-1]]], None
+            last = (which[-1], held[-1])
+            if limit is not None and (over == last or sum(map(len, kept)) > limit):  # too long to hold: it goes on as it comes
+                out += [(int(x), None) for part in kept for x in part]
+                kept, over = [], last
+            yield _frame(out)
+        if sum(map(len, kept)) > 1:
+            yield _frame(told(np.concatenate(kept)))
+
+    return run
+
 
+def _frame(links: list[tuple[int, int | None]]) -> pd.DataFrame:
+    links = list(dict.fromkeys(links))
+    return pd.DataFrame({"a": pd.array([a for a, _ in links], "Int64"), "b": pd.array([b for _, b in links], "Int64")})
 
-def links(distinct: DataFrame) -> DataFrame:
+
+def _met(distinct: DataFrame, place: np.ndarray | None, limit: int | None) -> DataFrame:
+    """Links of fingerprints (fp) that meet in an intersection of lists."""
+
+    def index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame(dict(zip(("which", "held", "fp"), entries(batch["fp"].to_numpy(), place), strict=True)))
+
+    met = distinct.select("fp").mapInPandas(index, "which short, held long, fp long").repartition("which", "held").sortWithinPartitions("which", "held")
+    return met.mapInPandas(_lists(limit), "a long, b long")
+
+
+def places(distinct: DataFrame) -> np.ndarray:
+    """Places of the 8 x 256 lists in order of length, the shortest first."""
+    postings = F.array(*(F.struct(F.lit(p).alias("position"), F.shiftright("fp", 8 * (BYTES - 1 - p)).bitwiseAND(F.lit(255)).cast("int").alias("byte")) for p in range(BYTES)))
+    lengths = np.zeros((BYTES, 256), np.int64)
+    # one row a list: 2,048 at most
+    for r in distinct.select(F.explode(postings).alias("x")).groupBy("x").count().select("x.*", "count").collect():
+        lengths[r["position"], r["byte"]] = r["count"]
+    place = np.empty(lengths.size, np.int64)
+    place[np.argsort(lengths.ravel(), kind="stable")] = np.arange(lengths.size)
+    return place.reshape(lengths.shape)
+
+
+def links(distinct: DataFrame, listed: int = LISTED) -> DataFrame:
     """Links (a, b) between distinct fingerprints (fp): every pair within the bits is connected by them."""
-    entries = []
-    for k, held in enumerate(ENTRIES):
-        mask = sum(255 << 8 * (BYTES - 1 - p) for p in held)
-        entries.append(F.struct(F.lit(k).cast("byte").alias("entry"), F.col("fp").bitwiseAND(F.lit(_signed(mask))).alias("held")))
-    index = distinct.select("fp", F.explode(F.array(*entries)).alias("e")).select("e.entry", "e.held", "fp")
-    shared = index.groupBy("entry", "held").agg(F.collect_list("fp").alias("fps")).filter(F.size("fps") > 1)
-    return shared.select("fps").mapInPandas(_links, "a long, b long")
+    ship(distinct.sparkSession)
+    found = checkpoint(_met(distinct, places(distinct), listed))
+    sure, crowded = found.filter("b is not null"), found.filter("b is null").select(F.col("a").alias("fp")).distinct()
+    return sure.unionByName(_met(crowded, None, None))
+
 
+def groups(found: DataFrame, listed: int = LISTED) -> DataFrame:
+    """For each distinct fingerprint (fp): its component's root, smallest doc_id (component_id), and whether
+    several documents are in the component (several)."""
+    distinct = checkpoint(found.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies")))
+    rooted = components(links(distinct.select("fp"), listed)).withColumnRenamed("node", "fp")
+    labelled = checkpoint(distinct.join(rooted, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"), (F.col("root").isNotNull() | (F.col("copies") > 1)).alias("several")))
+    lowest = labelled.filter("several").groupBy("root").agg(F.min("least").alias("lowest"))
+    # a component may have a third of all fingerprints
+    numbered = labelled.withColumn("uid", F.monotonically_increasing_id())
+    return spread_join(numbered, lowest, "root").select("fp", "root", F.when(F.col("several"), F.col("lowest")).otherwise(F.col("least")).alias("component_id"), "several")
 
-def groups(found: DataFrame) -> DataFrame:
-    """For each distinct fingerprint (fp): its component's root and smallest doc_id (component_id)."""
-    distinct = checkpoint(found.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    rooted = components(links(distinct.select("fp"))).withColumnRenamed("node", "fp")
-    labelled = distinct.join(rooted, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    lowest = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
-    return labelled.join(lowest, "root").select("fp", "root", "component_id")
 
+def _found(found: DataFrame, listed: int) -> DataFrame:
+    """Rows (doc_id, fp, uid) with the root of their component and its smallest id (component_id)."""
+    told = groups(found, listed).filter("several").select("fp", F.col("root").alias("_root"), "component_id", "several")
+    joined = spread_join(found, told, "fp")
+    alone = F.col("several").isNull()
+    return joined.select("doc_id", "fp", "uid", F.coalesce("_root", "fp").alias("root"), F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+
+def near_duplicates(docs: DataFrame, listed: int = LISTED) -> DataFrame:
     """One row per document: doc_id, fingerprint (16 hexadecimal digits), component_id."""
-    found = checkpoint(with_fingerprint(docs).select("doc_id", "fp"))
-    joined = found.join(groups(found), "fp")
-    return joined.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return _found(checkpoint(with_fingerprint(docs)), listed).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def near_dedup(docs: DataFrame) -> DataFrame:
+def near_dedup(docs: DataFrame, listed: int = LISTED) -> DataFrame:
     """One document of each component, the one with the smallest id; all columns as they were.
 
     Rows that share that id are told apart by their text, of full repetitions one stays.
     """
-    names = docs.columns
-    found = checkpoint(with_fingerprint(docs))
-    mapped = found.join(groups(found), "fp").filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    keep = mapped.groupBy("root", "doc_id").agg(F.min("h").alias("_h")).select(F.col("doc_id").alias("_id"), "_h")
-    keyed = docs.withColumns({"_i": F.col("doc_id").cast("long"), "_x": F.xxhash64(text_of())})
-    hit = keyed.join(keep, F.col("_i").eqNullSafe(F.col("_id")) & (F.col("_x") == F.col("_h")))
-    nth = F.row_number().over(Window.partitionBy("_i", "_x").orderBy("_h"))
-    return hit.withColumn("_nth", nth).filter("_nth = 1").select(*names)
+    id_ = {"id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "none": F.col("doc_id").isNull(), "h": F.xxhash64(text_of())}
+    ship(docs.sparkSession)
+    found = checkpoint(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.pandas_udf(_fingerprints, "long")(text_of()).alias("fp"), id_["h"].alias("h"), F.monotonically_increasing_id().alias("uid")))
+    told = _found(found, listed).join(found.select("uid", "h"), "uid")
+    least = told.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min(F.struct("doc_id", "h")).alias("x")).select("x.*")
+    keep = least.select(*(c.alias(name) for name, c in id_.items() if name != "h"), "h")
+    once = packed(docs, **id_, o=row_hash(docs)).groupBy(*id_).agg(F.min_by("row", "o").alias("row"))
+    return unpacked(once.join(keep, list(id_), "left_semi"))
