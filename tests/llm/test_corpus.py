@@ -17,14 +17,14 @@ from pyspark.sql import functions as F
 
 from streetloom.llm import bpe, common, exact_dedup, html_text, licenses, mixing, order_minhash, pii, quality, registry, simhash, token_counts
 
-DDL = "doc_id long, text string, lang string, source string, n_chars long, rank int, size long, key double, fp long, h long, digest string"
+DDL = "doc_id long, text string, lang string, source string, n_chars long, rank int, size long, key double, fp long, h long, digest string, _score double, _i long, _h long, _n long, _copy int, _nth int, row string, uid long, n int, id long, copies long, o long, tags map<string,int>"
 DATA = "/root/testdata/sf0.001"
 needs_data = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
 
 
 def frame(spark, *rows):
     """Documents (id, text, source) with further columns whose names clash with internal ones."""
-    full = [(i, t, "en", s, len(t or ""), 1, 2, 3.0, 4, 5, "x") for i, t, s in rows]
+    full = [(i, t, "en", s, len(t or ""), 1, 2, 3.0, 4, 5, "x", 0.5, 6, 7, 8, 9, 10, "r", 11, 12, 13, 14, 15, {"a": 1}) for i, t, s in rows]
     return spark.createDataFrame(full, DDL).repartition(3)
 
 
@@ -132,7 +132,7 @@ def test_near_duplicates(spark, edge, none):
     assert len(got) == len(EDGE) and simhash.near_duplicates(none).count() == 0
     assert [r["component_id"] for r in got] == plain_components([r["doc_id"] for r in got], fps)
     kept = simhash.near_dedup(edge)
-    assert kept.columns == edge.columns and kept.count() == len({simhash.fingerprint(t) for t in [x[1] for x in EDGE]} and set(plain_components(list(range(len(got))), fps)))
+    assert kept.columns == edge.columns and kept.count() == len(set(plain_components(list(range(len(got))), fps)))
 
 
 def test_links_are_complete(spark):
@@ -147,13 +147,44 @@ def test_links_are_complete(spark):
     for v, c in zip(values, want, strict=True):
         names[c].add(found.get(v, v))
     assert all(len(x) == 1 for x in names.values()) and len(names) == len({next(iter(x)) for x in names.values()})
-    # a crowded entry takes the look-up path and must agree with the pairwise one
+    # lists that are too long to hold go by six lists, with the same components
+    few = {r["node"]: r["root"] for r in common.components(simhash.links(df, listed=3)).collect()}
+    assert few == found
+    # in a crowded list, over several blocks of pairs
     crowd = np.array(sorted({int(x) for x in rng.integers(0, 1 << 16, 300)}), np.int64)
-    roots = dict(simhash.stars(crowd))
     plain = plain_components(crowd.tolist(), crowd.tolist())
+    simhash.PAIRS, kept = 1000, simhash.PAIRS
+    roots = dict(simhash.stars(crowd))
+    simhash.PAIRS = kept
     assert all(roots.get(int(v), int(v)) == p for v, p in zip(crowd, plain, strict=True))
 
 
+def test_lists_over_batches():
+    rng = np.random.default_rng(5)
+    fps = np.sort(np.unique(rng.integers(0, 1 << 9, 400)))
+    rows = pd.DataFrame(dict(zip(("which", "held", "fp"), simhash.entries(fps, None), strict=True))).sort_values(["which", "held"], kind="stable")
+    whole = {x for out in simhash._lists(None)(iter([rows])) for x in zip(out["a"], out["b"], strict=True)}
+    for size in (1, 2, 7, 300):
+        parts = [rows.iloc[k : k + size] for k in range(0, len(rows), size)]
+        assert {x for out in simhash._lists(None)(iter(parts)) for x in zip(out["a"], out["b"], strict=True)} == whole
+        crowded = {a for out in simhash._lists(5)(iter(parts)) for a, b in zip(out["a"], out["b"], strict=True) if b is pd.NA}
+        lengths = rows.groupby(["which", "held"])["fp"].transform("size")
+        assert crowded == set(rows["fp"][lengths > 5])
+
+
+def test_pairs_that_reach_the_count_meet():
+    rng = np.random.default_rng(6)
+    place = rng.permutation(2048).reshape(8, 256)
+    for _ in range(300):
+        a = rng.integers(0, 256, 8)
+        b = a.copy()
+        b[rng.choice(8, 2, replace=False)] = rng.integers(0, 256, 2)
+        two = np.array([int.from_bytes(bytes(x.tolist()), "big", signed=True) for x in (a, b)])
+        which, held, fps = simhash.entries(two, place)
+        mine = [{(w, h) for w, h, f in zip(which, held, fps, strict=True) if f == x} for x in two]
+        assert mine[0] & mine[1]
+
+
 @needs_data
 def test_simhash_on_tables(spark):
     got = registry.QUERIES["op3_simhash"](spark, DATA).toPandas().sort_values("doc_id").reset_index(drop=True)
@@ -268,9 +299,9 @@ def test_quality(spark, edge, none):
     assert (got["held_out"] == [zlib.crc32(str(i).encode()) % 3 == 1 for i in got["doc_id"]]).all()
     known = got[(got["doc_id"] < 400) & got["held_out"]]
     assert (known["predicted"] == known["doc_id"] % 2).mean() > 0.95 and got["score"].between(0, 1).all()
-    assert (got[got["doc_id"] > 400]["score"] == 0).all()
+    assert got[got["doc_id"] > 400]["score"].nunique() == 1  # that of the bias
     assert quality.scores(none, labels).count() == 0
-    assert quality.scores(edge, labels.limit(0)).filter("score <> 0.5 and score <> 0").count() == 0
+    assert quality.scores(edge, labels.limit(0)).filter("score <> 0.5").count() == 0
     assert quality.good(docs, labels).columns == docs.columns
 
 
@@ -291,38 +322,24 @@ def plain_components_of(text, k=order_minhash.K):
     for c in "\t\n\x0b\x0c\r":
         text = text.replace(c, " ")
     words = [signed(xxhash.xxh64_intdigest(w.encode(), 42)) for w in text.split(" ") if w]
-    low = (1 << 24) - 1
     if len(words) >= k:
-        kmers = [(chain(*words[i : i + k]) & ~low | i) for i in range(len(words) - k + 1)]
+        kmers = [(chain(*words[i : i + k]), i) for i in range(len(words) - k + 1)]
     elif words:
         acc = 42
         for w in words:
             acc = chain(acc, w)
-        kmers = [acc & ~low]
+        kmers = [(acc, 0)]
     else:
         kmers = []
     seen, hashed = defaultdict(int), []
-    for x in sorted(kmers):
-        hashed.append(long_or(x, seen, chain, low))
+    for kmer, i in sorted(kmers):
+        # the occurrence number is an int: four bytes
+        hashed.append((signed(xxhash.xxh64_intdigest(struct.pack("<i", seen[kmer]), chain(kmer) % (1 << 64))), i))
+        seen[kmer] += 1
     bins = defaultdict(list)
     for x in sorted(hashed):
-        bins[x >> 58].append(x)
-    out = []
-    for b in sorted(bins):
-        two = sorted(bins[b][:2], key=lambda x: x & low)
-        out.append(((b & 63) << 16) | chain(*(x >> 24 for x in two)) & 0xFFFF)
-    return out
-
-
-def long_or(x, seen, chain, low):
-    kmer = x >> 24
-    number = seen[kmer]
-    seen[kmer] += 1
-    # the occurrence number is an int: four bytes
-    mid = chain(kmer) % (1 << 64)
-    value = xxhash.xxh64_intdigest(struct.pack("<i", number), mid)
-    value = value - (1 << 64) if value >> 63 else value
-    return value & ~low | x & low
+        bins[x[0] >> 58].append(x)
+    return [((b & 63) << 16) | chain(*(h for h, _ in sorted(bins[b][:2], key=lambda x: x[1]))) & 0xFFFF for b in sorted(bins)]
 
 
 def test_order_minhash(spark, edge, none):
@@ -408,7 +425,7 @@ def test_surrogates_stay_distinct(spark):
 
 def test_token_counts(spark, edge, none):
     scores = {"a": -1.0, "b": -2.0, "ab": -2.5, "ba": -1.5, "aba": -2.4, "▁": -0.5, "▁a": -1.4}
-    trie = token_counts.Trie(scores)
+    trie = token_counts.Trie(scores, merged=False)
 
     def every(word):
         if not word:
@@ -425,17 +442,41 @@ def test_token_counts(spark, edge, none):
     for _ in range(300):
         word = "▁" + "".join(rng.choices("abé", k=rng.randint(0, 7)))
         best = max(s for s, _ in every(word))
-        assert trie.count(word) in {c for s, c in every(word) if abs(s - best) < 1e-9}
-    token_counts.REMEMBERED, kept = 1, token_counts.REMEMBERED
-    small = token_counts.Trie(scores)
-    assert [small.count(w) for w in ("▁abab", "▁ba", "▁abab")] == [trie.count(w) for w in ("▁abab", "▁ba", "▁abab")]
-    token_counts.REMEMBERED = kept
+        assert trie.pieces(word) in {c for s, c in every(word) if abs(s - best) < 1e-9}
+    token_counts.NODES, kept = 1, token_counts.NODES
+    small = token_counts.Trie(scores, merged=False)
+    assert [small.pieces(w) for w in ("▁abab", "▁ba", "▁abab")] == [trie.pieces(w) for w in ("▁abab", "▁ba", "▁abab")]
+    token_counts.NODES = kept
     real = token_counts.Trie(token_counts.read_scores())
     got = sorted((r["n_words"], r["n_tokens"]) for r in token_counts.token_counts(edge).collect())
-    assert got == sorted((len((t or "").split()), sum(real.count("▁" + w) for w in (t or "").split())) for _, t, _ in EDGE)
+    assert got == sorted((len((t or "").split()), real.tokens(t or "")) for _, t, _ in EDGE)
     assert token_counts.token_counts(none).count() == 0
 
 
+@pytest.fixture(scope="module")
+def pieces():
+    import public_tokenizers
+    import sentencepiece
+
+    return sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path(token_counts.VOCABULARY))
+
+
+def test_token_counts_equal_library(pieces):
+    real, rng = token_counts.Trie(token_counts.read_scores()), random.Random(1)
+    parts = ["a", "b", "the", " ", "  ", "   ", "\n", "\t", "\r\n", "▁", "é", "漢", "²", "1", "!", "aaaa", "'s", "😀", "ing", "tion", "x" * 90, "<s>", "<0x0A>", " " * 17, "Ab", "　", "ß", "in", "er"]
+    for _ in range(4000):
+        text = "".join(rng.choices(parts, k=rng.randint(0, 14)))
+        assert real.tokens(text) == len(pieces.encode(text))
+    for n in range(100):
+        assert real.tokens(" " * n + "a") == len(pieces.encode(" " * n + "a"))
+
+
+@needs_data
+def test_token_counts_on_tables(spark, pieces):
+    got = registry.QUERIES["op9_token_counts"](spark, DATA).join(spark.read.parquet(f"{DATA}/documents.parquet"), "doc_id").collect()
+    assert [r["n_tokens"] for r in got] == [len(x) for x in pieces.encode([r["text"] or "" for r in got])]
+
+
 # --- pages -----------------------------------------------------------------------------------------
 
 
