@@ -10,10 +10,16 @@ block never stands in a dropped section and a section is never kept for nothing.
 The trees are trained on pages that `synthetic_page` writes, in many layouts and with
 known answers, once in a process and always alike.
 
+Reading takes time in proportion to the page, whatever its markup: every character is read
+once, and what is open is looked up by name. Nodes are scored in slices, so a page needs
+memory for its nodes but not for all their features.
+
 Defined cases: a null or empty page has no text; text that is not in any element is a
-block of the page; unclosed, misnested and unknown tags are read as browsers do in outline;
-rows are independent, so repeated rows and null ids need nothing; an empty table gives no
-rows; further columns are ignored.
+block of the page; unclosed, misnested and unknown tags are read as browsers do in outline,
+but a quote that never ends is an ordinary character; a tag that never ends is markup to
+the end of the page; formulas, drawings, embedded objects and what stands in for scripts are
+read like other elements; rows are independent, so repeated rows and null ids need nothing;
+an empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,14 +39,14 @@ from . import boosting
 from .common import ship
 
 # Names of the HTML vocabulary.
-VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe textarea title svg math object canvas select".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+VOID = frozenset("area base basefont bgsound br col embed frame hr img input link meta param source track wbr".split())
+RAW = frozenset("script style textarea title iframe noembed noframes xmp".split())
+INLINE = frozenset("a abbr acronym audio b bdi bdo big br canvas cite code data del dfn em font i img ins kbd mark noscript object output picture q rp rt ruby s samp small span strike strong sub sup svg template time tt u var video wbr math semantics annotation mi mo mn ms mtext mrow mfrac msup msub msubsup msqrt mroot mover munder munderover mtable mtr mtd mstyle mspace mpadded mphantom menclose g path circle ellipse rect line polyline polygon text tspan defs use symbol desc".split())
 CLOSES_P = frozenset("address article aside blockquote center details dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 CLOSES_SAME = {"li": ("li", "ul ol menu"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "tr": ("tr td th", "table"), "td": ("td th", "tr table"), "th": ("td th", "tr table"), "option": ("option", "select"), "tbody": ("thead tbody tfoot tr td th", "table"), "tfoot": ("thead tbody tfoot tr td th", "table")}
 
 # Groups of tags and of attribute words.
-TAGS = ["#text", "p", "h1", "h2 h3 h4 h5 h6", "li", "ul ol menu dl", "div", "section", "article", "main", "nav", "header", "footer", "aside", "form fieldset label button option legend", "table tbody thead tfoot tr td th caption", "blockquote pre figure figcaption dt dd details summary", "html", "body"]
+TAGS = ["#text", "p", "h1", "h2 h3 h4 h5 h6", "li", "ul ol menu dl", "div", "section", "article", "main", "nav", "header", "footer", "aside", "form fieldset label button option optgroup select datalist legend", "table tbody thead tfoot tr td th caption", "blockquote pre figure figcaption dt dd details summary", "html", "body"]
 WORDS = [
     "content article post entry story main body text maincontent copy prose page",
     "nav navigation navbar menu menubar breadcrumb breadcrumbs crumbs pagination pager toc links tabs skip",
@@ -57,163 +63,258 @@ TAG_OF = {name: k for k, names in enumerate(TAGS) for name in names.split()}
 WORD_OF = {word: k for k, words in enumerate(WORDS) for word in words.split()}
 OTHER = len(TAGS)
 
-_MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)>", re.S)
-_ATTRIBUTE = re.compile(r"(?:class|id|role|aria-label|itemprop|itemtype|data-[\w-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_NAMED = frozenset("class id role aria-label itemprop itemtype".split())
+
+# No part of these can give back what it has read.
+_OPEN = re.compile(r"[a-zA-Z][^\s/>]*+")
+_SIMPLE = re.compile(r"((?:\s++[^\s=>\"'/<]++(?:=(?:\"[^\"<>]*+\"|'[^'<>]*+'|[^\s>\"'<=`]++))?)*+)\s*+/?>")
+_GAP, _NAME, _EQUALS, _VALUE = (re.compile(p) for p in (r"[\s/]*+", r"=?[^\s/>=]*+", r"\s*+=\s*+", r"[^\s>]*+"))
+_PAIR = re.compile(r"(?<![^\s\"'/])([^\s=\"'/<]++)=(?:\"([^\"]*+)\"|'([^']*+)'|(\S++))")
 _TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+_NUMBER = re.compile(r"&#(?:([0-9]{8,})|[xX]([0-9a-fA-F]{8,}));?")
 _PAUSE = re.compile(r"[.,;:!?。、]")
 
 
-@functools.lru_cache(4096)
-def _attribute_groups(attributes: str) -> int:
+def _groups(pairs: list[tuple[str, str]]) -> int:
+    """Bits of the groups that the words of some attributes are in."""
     mask = 0
-    for found in _ATTRIBUTE.findall(attributes):
-        for token in _TOKEN.findall("".join(found)):
-            group = WORD_OF.get(token.lower())
-            if group is not None:
-                mask |= 1 << group
+    for name, value in pairs:
+        if name in _NAMED or name.startswith("data-"):
+            for token in _TOKEN.findall(value):
+                group = WORD_OF.get(token.lower())
+                if group is not None:
+                    mask |= 1 << group
     return mask
 
 
+@functools.lru_cache(4096)
+def _attribute_groups(attributes: str) -> int:
+    return _groups([(name.lower(), "".join(values)) for name, *values in _PAIR.findall(attributes)])
+
+
+def _small(found: re.Match) -> str:
+    """A long number of a character reference without its leading zeros."""
+    digits, base = (found[1], "") if found[1] else (found[2], "x")
+    digits = digits.lstrip("0")
+    return f"&#{base}{digits or 0};" if len(digits) < 8 else "\ufffd"
+
+
 class Page:
     """The nodes of a page in page order, parents before children; blocks are leaves with text."""
 
     def __init__(self, source: str):
         self.parent, self.tag, self.words = [-1], ["#page"], [0]
         self.links, self.blocks, self.link_chars = [0], {}, {}
-        self._read(source)
-
-    def _add(self, parent: int, tag: str, words: int = 0) -> int:
-        self.parent.append(parent)
+        self.source, self.last_quote = source, {q: source.rfind(q) for q in "\"'"}
+        #: Open elements, and for each name where it stands among them.
+        self.stack, self.where = [(0, "#page")], {}
+        self.buffer, self.linked, self.inlines = [], 0, {}
+        self._read()
+
+    def _add(self, tag: str, words: int = 0) -> int:
+        self.parent.append(self.stack[-1][0])
         self.tag.append(tag)
         self.words.append(words)
         self.links.append(0)
         return len(self.parent) - 1
 
-    def _read(self, source: str) -> None:
-        stack, buffer, linked = [(0, "#page")], [], [0]
-        inlines: list[str] = []
-
-        def flush() -> None:
-            text = " ".join(html.unescape("".join(buffer)).split())
-            buffer.clear()
-            if text:
-                node = self._add(stack[-1][0], "#text")
-                self.blocks[node], self.link_chars[node] = text, min(linked[0], len(text))
-            linked[0] = 0
-
-        def close(names: frozenset | tuple, stop: tuple = ()) -> None:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][1] in names:
-                    flush()
-                    inlines.clear()
-                    del stack[k:]
-                    return
-                if stack[k][1] in stop:
-                    return
-
-        at, end = 0, len(source)
-        while at < end:
-            found = _MARKUP.search(source, at)
-            piece = source[at : found.start()] if found else source[at:]
-            if piece:
-                buffer.append(piece)
-                if "a" in inlines:
-                    linked[0] += len(piece.strip())
-            if not found:
+    def _open(self, name: str, words: int) -> None:
+        self.where.setdefault(name, []).append(len(self.stack))
+        self.stack.append((self._add(name, words), name))
+
+    def _flush(self) -> None:
+        text = "".join(self.buffer)
+        if "&" in text:
+            text = html.unescape(_NUMBER.sub(_small, text))
+        text = " ".join(text.split())
+        self.buffer.clear()
+        if text:
+            node = self._add("#text")
+            self.blocks[node], self.link_chars[node] = text, min(self.linked, len(text))
+        self.linked = 0
+
+    def _close(self, names: tuple, stop: tuple = ()) -> None:
+        """Close the innermost element of some names, unless one of the others is further in."""
+        last = lambda some: max((self.where[x][-1] for x in some if self.where.get(x)), default=0)
+        at = last(names)
+        if not at or stop and last(stop) > at:
+            return
+        self._flush()
+        self.inlines.clear()
+        while len(self.stack) > at:
+            self.where[self.stack.pop()[1]].pop()
+
+    def _attributes(self, at: int) -> tuple[int, int]:
+        """Where a tag ends whose attributes begin here, and their groups; the end of the page if it never does."""
+        source, pairs = self.source, []
+        while True:
+            at = _GAP.match(source, at).end()
+            if at >= len(source):
+                return len(source), 0
+            if source[at] == ">":
+                return at + 1, _groups(pairs)
+            found = _NAME.match(source, at)
+            name, at, value = found[0].lower(), found.end(), ""
+            found = _EQUALS.match(source, at)
+            if found:
+                at = found.end()
+                quote = source[at : at + 1]
+                if quote in ("'", '"') and self.last_quote[quote] > at:
+                    end = source.index(quote, at + 1)
+                    value, at = source[at + 1 : end], end + 1
+                else:
+                    found = _VALUE.match(source, at)
+                    value, at = found[0], found.end()
+            pairs.append((name, value))
+
+    def _after(self, name: str, at: int) -> int:
+        """Where raw text ends, after its closing tag."""
+        over = re.compile(f"</{name}(?=[\\s/>])", re.I).search(self.source, at)
+        if not over:
+            return len(self.source)
+        end = self.source.find(">", over.end())
+        return len(self.source) if end < 0 else end + 1
+
+    def _text(self, piece: str) -> None:
+        self.buffer.append(piece)
+        if self.inlines.get("a"):
+            self.linked += len(piece.strip())
+
+    def _read(self) -> None:
+        source, at, size, find = self.source, 0, len(self.source), self.source.find
+        head_ends = True
+        while at < size:
+            start = find("<", at)
+            if start < 0:
+                self._text(source[at:])
                 break
-            at = found.end()
-            name = (found[2] or "").lower()
-            if not name:
-                continue
-            if found[1]:
-                if name in INLINE:
-                    if name in inlines:
-                        inlines.reverse()
-                        inlines.remove(name)
-                        inlines.reverse()
-                elif name == "br":
-                    buffer.append(" ")
+            if start > at:
+                self._text(source[at:start])
+            mark = source[start + 1 : start + 2]
+            if mark in ("!", "?"):
+                if source.startswith("<!--", start):
+                    end = start + 4 if source.startswith((">", "->"), start + 4) else find("-->", start + 4)
                 else:
-                    close((name,))
-                continue
-            if name in RAW:
-                if name not in ("svg", "math") or not found[3].endswith("/"):
-                    over = re.compile(f"</{name}\\b[^>]*>", re.I).search(source, at)
-                    at = over.end() if over else end
-                continue
-            if name in ("br", "img", "wbr"):
-                buffer.append(" " if name == "br" else "")
-                continue
-            if name in INLINE:
-                inlines.append(name)
-                if name == "a":
-                    self.links[stack[-1][0]] += 1
+                    end = start
+                end = find(">", end) if end >= 0 else -1
+                at = size if end < 0 else end + 1
                 continue
-            flush()
-            if name in VOID:
-                if name == "hr":
-                    close(("p",), ("td", "th", "button"))
-                elif name == "input":
-                    self._add(stack[-1][0], "button")
-                continue
-            if name in CLOSES_P:
-                close(("p",), ("td", "th", "button", "table"))
-            if name in CLOSES_SAME:
-                these, stop = CLOSES_SAME[name]
-                close(tuple(these.split()), tuple(stop.split()))
-            if name == "body":
-                close(("head",))
-            inlines.clear()
-            if name == "head":
-                over = re.compile(r"</head\b[^>]*>|<body\b", re.I).search(source, at)
-                if over:
-                    at = over.end() if source[over.start() + 1] == "/" else over.start()
+            closing = mark == "/"
+            found = _OPEN.match(source, start + 1 + closing)
+            if not found:
+                if closing and start + 2 < size:  # not a tag, but not text either
+                    end = find(">", start)
+                    at = size if end < 0 else end + 1
+                else:
+                    self._text("<")
+                    at = start + 1
                 continue
-            stack.append((self._add(stack[-1][0], name, _attribute_groups(found[3]) if found[3] else 0), name))
-        flush()
-
-
-def features(page: Page) -> np.ndarray:
-    """One row per node."""
-    n = len(page.parent)
-    parent = np.array(page.parent)
-    tag = np.array([TAG_OF.get(t, OTHER) for t in page.tag])
-    up = np.maximum(parent, 0)
-    chars, linked, pauses = np.zeros(n), np.zeros(n), np.zeros(n)
-    for node, text in page.blocks.items():
-        chars[node], linked[node], pauses[node] = len(text), page.link_chars[node], len(_PAUSE.findall(text))
-    own, links, leaves, tags = chars.copy(), np.array(page.links, float), (chars > 0).astype(float), np.ones(n)
-    depth, above, tags_above = np.zeros(n), np.zeros(n, np.int64), np.zeros(n, np.int64)
-    index, siblings, alike = np.zeros(n), np.zeros(n), np.zeros(n)
-    words = np.array(page.words)
-    kinds: dict[tuple[int, int], int] = {}
-    for k in range(1, n):
-        p = parent[k]
-        depth[k], above[k] = depth[p] + 1, above[p] | words[k]
-        tags_above[k] = tags_above[p] | 1 << tag[k]
-        index[k] = siblings[p]
-        siblings[p] += 1
-        key = (p, page.tag[k])
-        kinds[key] = kinds.get(key, 0) + 1
-    before = np.concatenate([[0.0], np.cumsum(own)[:-1]])
-    for k in range(n - 1, 0, -1):
-        p = parent[k]
-        for a in (chars, linked, pauses, links, leaves, tags):
-            a[p] += a[k]
-    alike = np.array([kinds.get((page.parent[k], page.tag[k]), 1) for k in range(n)], float)
-    total = max(chars[0], 1)
-    text = np.maximum(chars, 1)
-    # a block counts as its element, so the tag of a block is that of its parent
-    shown = np.where(tag == 0, tag[up], tag)
-    near = np.where(tag == 0, words[up], words)
-    numbers = np.stack([
-        np.log1p(chars), linked / text, links / text * 100, tags / text * 100, pauses / text * 100, chars / np.maximum(leaves, 1),
-        depth, index, siblings[up], index / np.maximum(siblings[up], 1), alike, siblings, chars / total, before / total,
-        chars[up] / total, linked[up] / np.maximum(chars[up], 1), leaves, np.log1p(chars[up]), (tag == 0).astype(float),
-    ], axis=1)
-    one_hot = lambda x, m: (x[:, None] >> np.arange(m) & 1).astype(float)
-    groups = len(WORDS)
-    return np.concatenate([numbers, np.eye(OTHER + 1)[shown], one_hot(near, groups), one_hot(above, groups), one_hot(tags_above, OTHER + 1)], axis=1)
+            name, at = found[0].lower(), found.end()
+            simple = _SIMPLE.match(source, at)
+            if simple:
+                attributes, at = simple[1], simple.end()
+                words = _attribute_groups(attributes) if attributes and not closing else 0
+            else:
+                at, words = self._attributes(at)
+                if at == size and source[-1] != ">":
+                    break
+            if closing:
+                if name == "br":
+                    self.buffer.append(" ")
+                elif name in INLINE:
+                    if self.inlines.get(name):
+                        self.inlines[name] -= 1
+                else:
+                    self._close((name,))
+            elif name in RAW:
+                at = self._after(name, at)
+            elif name == "head":
+                if head_ends:
+                    over = re.compile(r"</head(?=[\s/>])|<body(?=[\s/>])", re.I).search(source, at)
+                    head_ends = bool(over)
+                    if over:
+                        at = over.start()
+            else:
+                self._element(name, words)
+        self._flush()
+
+    def _element(self, name: str, words: int) -> None:
+        if name in ("br", "img", "wbr"):
+            if name == "br":
+                self.buffer.append(" ")
+            return
+        if name in INLINE:
+            self.inlines[name] = self.inlines.get(name, 0) + 1
+            if name == "a":
+                self.links[self.stack[-1][0]] += 1
+            return
+        self._flush()
+        if name in VOID:
+            if name == "hr":
+                self._close(("p",), ("td", "th", "button"))
+            elif name == "input":
+                self._add("button")
+            return
+        if name in CLOSES_P:
+            self._close(("p",), ("td", "th", "button", "table"))
+        if name in CLOSES_SAME:
+            these, stop = CLOSES_SAME[name]
+            self._close(tuple(these.split()), tuple(stop.split()))
+        self.inlines.clear()
+        self._open(name, words)
+
+
+class Features:
+    """The features of a page's nodes, one row per node, made in slices."""
+
+    def __init__(self, page: Page):
+        n = len(page.parent)
+        parent = np.array(page.parent)
+        tag = np.array([TAG_OF.get(t, OTHER) for t in page.tag])
+        up = np.maximum(parent, 0)
+        chars, linked, pauses = np.zeros(n), np.zeros(n), np.zeros(n)
+        for node, text in page.blocks.items():
+            chars[node], linked[node], pauses[node] = len(text), page.link_chars[node], len(_PAUSE.findall(text))
+        own, links, leaves, tags = chars.copy(), np.array(page.links, float), (chars > 0).astype(float), np.ones(n)
+        depth, above, tags_above, index, siblings = [0] * n, [0] * n, [0] * n, [0] * n, [0] * n
+        kinds: dict[tuple[int, str], int] = {}
+        words, bits = page.words, (1 << tag).tolist()
+        for k in range(1, n):
+            p = page.parent[k]
+            depth[k], above[k] = depth[p] + 1, above[p] | words[k]
+            tags_above[k] = tags_above[p] | bits[k]
+            index[k] = siblings[p]
+            siblings[p] += 1
+            key = (p, page.tag[k])
+            kinds[key] = kinds.get(key, 0) + 1
+        before = np.concatenate([[0.0], np.cumsum(own)[:-1]])
+        for sums in (chars, linked, pauses, links, leaves, tags):
+            listed = sums.tolist()
+            for k in range(n - 1, 0, -1):
+                listed[page.parent[k]] += listed[k]
+            sums[:] = listed
+        alike = np.array([kinds.get((page.parent[k], page.tag[k]), 1) for k in range(n)], float)
+        depth, index, siblings = (np.array(x, float) for x in (depth, index, siblings))
+        total, text = max(chars[0], 1), np.maximum(chars, 1)
+        words = np.array(words)
+        # a block counts as its element, so the tag of a block is that of its parent
+        self.shown = np.where(tag == 0, tag[up], tag)
+        self.near = np.where(tag == 0, words[up], words)
+        self.above, self.tags_above = np.array(above), np.array(tags_above)
+        self.numbers = [
+            np.log1p(chars), linked / text, links / text * 100, tags / text * 100, pauses / text * 100, chars / np.maximum(leaves, 1),
+            depth, index, siblings[up], index / np.maximum(siblings[up], 1), alike, siblings, chars / total, before / total,
+            chars[up] / total, linked[up] / np.maximum(chars[up], 1), leaves, np.log1p(chars[up]), (tag == 0).astype(float),
+        ]
+
+    def __len__(self) -> int:
+        return len(self.shown)
+
+    def rows(self, low: int, high: int) -> np.ndarray:
+        bits = lambda x, m: (x[low:high, None] >> np.arange(m) & 1).astype(float)
+        groups = len(WORDS)
+        numbers = np.stack([x[low:high] for x in self.numbers], axis=1)
+        return np.concatenate([numbers, np.eye(OTHER + 1)[self.shown[low:high]], bits(self.near, groups), bits(self.above, groups), bits(self.tags_above, OTHER + 1)], axis=1)
 
 
 def decode(parent: list[int], gain: np.ndarray) -> np.ndarray:
@@ -270,7 +371,8 @@ def synthetic_page(rng: random.Random) -> tuple[str, list[str]]:
         return plain("div", 6, f"<p>{_say(rng, 1, 3)}</p>" * rng.randint(1, 2) + (f"<button>{_say(rng, 1, 1)[:8]}</button>" if r() < 0.6 else ""), True)
 
     def form() -> str:
-        inside = some(lambda: f"<label>{_say(rng, 1, 1)[:14]}</label><input name=x>", 1, 4) + f"<button>{_say(rng, 1, 1)[:9]}</button>"
+        choice = f"<select>{some(lambda: f'<option>{_say(rng, 1, 1)[:12]}</option>', 2, 6)}</select>" if r() < 0.3 else ""
+        inside = some(lambda: f"<label>{_say(rng, 1, 1)[:14]}</label><input name=x>", 1, 4) + choice + f"<button>{_say(rng, 1, 1)[:9]}</button>"
         return f"{_name(rng, 'form', 7, 0.5)}{f'<p>{_say(rng, 1, 2)}</p>' if r() < 0.5 else ''}{inside}</form>"
 
     def side() -> str:
@@ -291,6 +393,13 @@ def synthetic_page(rng: random.Random) -> tuple[str, list[str]]:
     def share() -> str:
         return plain("div", 9, some(lambda: link() + " ", 2, 5), True)
 
+    def aside_of_text(text: str) -> str:
+        """A paragraph with a formula, or a text that stands in for an object or a script."""
+        words, k = text.split(" "), rng.randint(0, text.count(" "))
+        kind = rng.choice(["math", "object", "noscript", "canvas"])
+        words[k] = f"<{kind}>{'<mi>' + words[k] + '</mi>' if kind == 'math' else words[k]}</{kind}>"
+        return " ".join(words)
+
     def block(kind: str) -> str:
         if kind == "list":
             said = [_say(rng, 1, 2) for _ in range(rng.randint(2, 6))]
@@ -304,6 +413,8 @@ def synthetic_page(rng: random.Random) -> tuple[str, list[str]]:
         if kind[0] == "h" and r() < 0.5:
             text = text[: rng.randint(8, 60)].rstrip() if "&" not in text else text
         main.append(text)
+        if r() < 0.04:
+            text = aside_of_text(text)
         if kind == "p" and r() < 0.15:
             return f"<p><b>{text}<br>"
         return f"<{kind}>{text}" + ("" if kind == "p" and r() < 0.15 else f"</{kind}>")
@@ -312,7 +423,7 @@ def synthetic_page(rng: random.Random) -> tuple[str, list[str]]:
         out = [block("h1")] if r() < 0.85 else []
         if r() < 0.15:
             out.append(share())
-        for _ in range(rng.choice([1, 2, 3, 5, 8, 12, 20])):
+        for _ in range(rng.choice([0, 1, 1, 2, 3, 5, 8, 12, 20])):
             out.append(block(rng.choices(["p", "h2", "list", "blockquote", "pre", "table", "div"], [14, 1, 1, 0.5, 0.3, 0.4, 0.6])[0]))
             if r() < 0.06:
                 out.append(rng.choice([advert, notice, side, form, share])())
@@ -322,6 +433,14 @@ def synthetic_page(rng: random.Random) -> tuple[str, list[str]]:
             inside += comments()
         return f"{_name(rng, tag, group, 0.4 if tag in ('article', 'main') else 0.95)}{inside}</{tag}>"
 
+    if r() < 0.08:  # nothing but text, in a plain element or in none
+        tag = rng.choice(["div", "p", "section", "article", "main", ""])
+        inside = "".join(block(rng.choice(["p", "p", "div", "h2"])) for _ in range(rng.randint(1, 4))) if r() < 0.5 else ""
+        if not inside:
+            main.append(_say(rng, 1, 2)[: rng.randint(6, 200)].rpartition("&")[0] or "Short.")
+            inside = main[-1]
+        body = f"<{tag}>{inside}</{tag}>" if tag else inside
+        return (f"<html><body>{body}</body></html>" if r() < 0.5 else body), [" ".join(html.unescape(x).split()) for x in main]
     parts = [rng.choice([menu, head])() if r() < 0.8 else ""]
     parts += [f() for f, p in ((notice, 0.3), (advert, 0.4), (menu, 0.2), (form, 0.1), (side, 0.15)) if r() < p]
     body = story()
@@ -341,10 +460,13 @@ def _labelled(source: str, main: list[str]) -> tuple[np.ndarray, np.ndarray]:
             left.pop(0)
     for k in range(len(page.parent) - 1, 0, -1):
         y[page.parent[k]] = max(y[page.parent[k]], y[k])
-    return features(page), y
+    known = Features(page)
+    return known.rows(0, len(known)), y
 
 
-PAGES = 700
+#: Nodes whose features are held at a time.
+NODES = 8192
+PAGES = 1000
 SEED = 11
 
 
@@ -356,16 +478,44 @@ def model(pages: int = PAGES, seed: int = SEED) -> boosting.Trees:
     return boosting.fit(np.concatenate([x for x, _ in rows]), np.concatenate([y for _, y in rows]))
 
 
+def _scored(features: list[Features], trees: boosting.Trees) -> list[np.ndarray]:
+    """Log odds of the nodes of some pages, scored together in slices of NODES."""
+    cuts = np.cumsum([0, *map(len, features)])
+    out, rows, held = [], [], 0
+    for known in features:
+        low = 0
+        while low < len(known):
+            high = min(len(known), low + NODES - held)
+            rows.append(known.rows(low, high))
+            held += high - low
+            low = high
+            if held == NODES:
+                out.append(trees.margin(np.concatenate(rows)))
+                rows, held = [], 0
+    if rows:
+        out.append(trees.margin(np.concatenate(rows)))
+    margins = np.concatenate(out)
+    return [margins[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+
+
 def extract(sources: list[str | None], trees: boosting.Trees) -> list[str]:
-    """Main texts of some pages; their nodes are scored together."""
-    pages = [Page(s or "") for s in sources]
-    margins = trees.margin(np.concatenate([features(p) for p in pages])) if pages else []
-    out, at = [], 0
-    for page in pages:
-        n = len(page.parent)
-        keep = decode(page.parent, np.asarray(margins[at : at + n]))
-        at += n
-        out.append("\n".join(page.blocks[k] for k in sorted(page.blocks) if keep[k]))
+    """Main texts of some pages; the nodes of small ones are scored together."""
+    out, pages, nodes = [], [], 0
+
+    def done() -> None:
+        for page, margins in zip(pages, _scored([Features(p) for p in pages], trees), strict=True):
+            keep = decode(page.parent, margins)
+            out.append("\n".join(page.blocks[k] for k in sorted(page.blocks) if keep[k]))
+        pages.clear()
+
+    for source in sources:
+        pages.append(Page(source or ""))
+        nodes += len(pages[-1].parent)
+        if nodes >= NODES:
+            done()
+            nodes = 0
+    if pages:
+        done()
     return out
 
 
@@ -376,9 +526,7 @@ def main_text(pages: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for sources in batches:
-            # in small groups, so that long pages do not add up
-            found = [x for k in range(0, len(sources), 32) for x in extract(list(sources.iloc[k : k + 32]), trees)]
-            yield pd.Series(found, dtype="object")
+            yield pd.Series(extract(list(sources), trees), dtype="object")
 
     text = F.pandas_udf(run, "string")(F.coalesce(F.col("html").cast("string"), F.lit("")))
     return pages.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))
