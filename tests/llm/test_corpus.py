@@ -4,6 +4,7 @@ import hashlib
 import os
 import random
 import struct
+import time
 import zlib
 from collections import defaultdict
 from itertools import pairwise
@@ -15,6 +16,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+from . import pages
 from streetloom.llm import bpe, common, exact_dedup, html_text, licenses, mixing, order_minhash, pii, quality, registry, simhash, token_counts
 
 DDL = "doc_id long, text string, lang string, source string, n_chars long, rank int, size long, key double, fp long, h long, digest string, _score double, _i long, _h long, _n long, _copy int, _nth int, row string, uid long, n int, id long, copies long, o long, tags map<string,int>"
@@ -544,6 +546,48 @@ def test_html(spark):
     assert html_text.main_text(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("name", sorted(pages.PAGES))
+def test_pages_of_other_makers(name):
+    source, main = pages.PAGES[name]
+    assert html_text.extract([source], html_text.model()) == ["\n".join(main)]
+
+
+def test_nothing_else_is_dropped():
+    said = "<article><h1>Title</h1><p>Some words, here, for a start.</p><object>What stands in for it, {0}.</object><p>Then <math><mi>x</mi></math> and <svg><text>y</text></svg> follow.</p><noscript><p>Words without scripts, {0}.</p></noscript></article>".format("that are long enough to matter")
+    got = html_text.extract([said, "<div>Short.</div>", "plain", "a &lt; b &#0000000065; &#" + "9" * 6000 + "; c < d"], html_text.model())
+    assert got[0] == "Title\nSome words, here, for a start.\nWhat stands in for it, that are long enough to matter.\nThen x and y follow.\nWords without scripts, that are long enough to matter."
+    assert got[1:3] == ["Short.", "plain"] and got[3] == "a < b A \ufffd c < d"
+
+
+def test_reading_takes_linear_time():
+    many = {
+        "quotes": '<a ' + '"x' * 20000,
+        "values": '<a ' + 'x="' * 20001,
+        "unclosed": "<a " * 20000,
+        "nested": "<div>" * 20000 + "</p></span></x>" * 20000,
+        "lists": "<li><ul>" + "<div>" * 20000 + "<li></li>" * 20000,
+        "heads": "<head>" * 20000,
+        "inline": "<b>" * 20000 + "</b>" * 20000,
+        "comments": "<!--" * 20000,
+        "names": "<p " + "data-" * 20000 + ">",
+        "spaces": "<p" + " " * 100000,
+        "references": "&" * 100000,
+    }
+    for name, page in many.items():
+        start = time.process_time()
+        html_text.Page(page)
+        assert time.process_time() - start < 3, name
+
+
+def test_slices_do_not_change_the_text():
+    rng = random.Random(3)
+    sources = [html_text.synthetic_page(rng)[0] for _ in range(20)] + ["<p>some words, here.</p>" * 3000]
+    whole = html_text.extract(sources, html_text.model())
+    html_text.NODES, kept = 100, html_text.NODES
+    assert html_text.extract(sources, html_text.model()) == whole
+    html_text.NODES = kept
+
+
 def test_decoding_is_hierarchical():
     rng = np.random.default_rng(9)
     for _ in range(50):
