@@ -46,8 +46,8 @@ def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents with surrogates for personal data."""
-    return pii.replace(table(spark, sf_dir, "documents"))
+    """All documents with surrogates for personal data, keyed by the session's setting."""
+    return pii.replace(table(spark, sf_dir, "documents"), spark.conf.get(pii.KEY_SETTING, pii.KEY))
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
