@@ -18,6 +18,11 @@ members go to the intersections of six lists instead, 28 a fingerprint, which ha
 most 65,536 distinct members whatever the corpus, as only two bytes are free, and are
 tallied in the same way. Copies collapse to distinct fingerprints first.
 
+The five-word form (`near_dedup`, `Wide`) has fingerprints of 256 bits and links texts of a
+similarity of about 0.8 or more. Too many bits differ there for a guaranteed minimum, so
+recall is a parameter: the index holds as many sets of positions as that takes, pairs that
+meet are tallied over all bytes, and those that reach a minimum are compared bit by bit.
+
 Defined cases: null and empty texts have fingerprint zero and are linked like any other;
 fewer than three words are one shingle; a null doc_id never names a component unless all
 its members are null; repeated rows are kept by `near_duplicates`, and one of them by
@@ -27,11 +32,14 @@ are by `near_dedup`, whatever their names.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -53,6 +61,8 @@ RAREST = BYTES - MIN_MATCHES + MET
 LISTED = 4096
 #: Pairs that are tallied at a time.
 PAIRS = 1 << 20
+#: Members up to which lists of long fingerprints are compared together.
+SHORT = 8
 
 
 def fingerprint(text: str | None, size: int = SHINGLE) -> int:
@@ -91,6 +101,18 @@ def with_fingerprint(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), found(text_of()).alias("fp"), F.monotonically_increasing_id().alias("uid"))
 
 
+def _roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The smallest member that each of n positions is linked to, by hooking and jumping."""
+    i, j, root = np.concatenate([i, j]), np.concatenate([j, i]), np.arange(n)
+    while True:
+        low = root.copy()
+        np.minimum.at(low, i, root[j])
+        low = low[low]
+        if (low == root).all():
+            return root
+        root = low
+
+
 def stars(values: np.ndarray) -> list[tuple[int, int]]:
     """Links (value, root) between the members of a list that share enough bytes and differ in few bits."""
     v = np.unique(np.asarray(values, np.int64))
@@ -99,8 +121,7 @@ def stars(values: np.ndarray) -> list[tuple[int, int]]:
         x = int(v[0] ^ v[1]) & (1 << 64) - 1
         shared = x.to_bytes(8, "big").count(0)
         return [(int(v[1]), int(v[0]))] if shared >= MIN_MATCHES and x.bit_count() <= MAX_BITS else []
-    root, step = np.arange(n), max(1, PAIRS // max(n, 1))
-    found = []
+    found, step = [(np.zeros(0, np.int64),) * 2], max(1, PAIRS // max(n, 1))
     for start in range(0, n, step):
         x = (v[start : start + step, None] ^ v[None, :]).view(np.uint64)
         tally = (x.view(np.uint8).reshape(len(x), n, BYTES) == 0).sum(-1, dtype=np.uint8)
@@ -108,15 +129,8 @@ def stars(values: np.ndarray) -> list[tuple[int, int]]:
         i, j = (k[np.bitwise_count(x[i, j]) <= MAX_BITS] for k in (i, j))
         i = i + start
         found.append((i[i < j], j[i < j]))
-    i, j = (np.concatenate(k) for k in zip(*found, strict=True)) if found else (root, root)
-    i, j = np.concatenate([i, j]), np.concatenate([j, i])
-    while True:  # smallest label by hooking and jumping
-        low = root.copy()
-        np.minimum.at(low, i, root[j])
-        low = low[low]
-        if (low == root).all():
-            break
-        root = low
+    i, j = (np.concatenate(k) for k in zip(*found, strict=True))
+    root = _roots(n, i, j)
     return [(int(a), int(b)) for a, b in zip(v, v[root], strict=True) if a != b]
 
 
@@ -141,10 +155,23 @@ def entries(fps: np.ndarray, place: np.ndarray | None) -> tuple[np.ndarray, np.n
     return np.concatenate(which), np.concatenate(held), np.tile(fps, len(which))
 
 
+def together(batches: Iterator[pa.RecordBatch], rows: int = 1 << 16) -> Iterator[pa.Table]:
+    """Some batches as one, since texts make the session's batches short."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= rows:
+            yield pa.Table.from_batches(held)
+            held, n = [], 0
+    if n:
+        yield pa.Table.from_batches(held)
+
+
 def _lists(limit: int | None):
     """Links (a, b) of sorted lists; b is null where a is in a list beyond the limit."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept, over = [], None  # parts of the list that the last batch ended in, and the one that is too long
 
         def told(members: np.ndarray) -> list[tuple[int, int | None]]:
@@ -153,10 +180,8 @@ def _lists(limit: int | None):
             return stars(members)
 
         last = None
-        for batch in batches:
+        for batch in together(batches):
             which, held, fps = (batch[c].to_numpy() for c in ("which", "held", "fp"))
-            if not len(fps):
-                continue
             cut = np.flatnonzero((which[1:] != which[:-1]) | (held[1:] != held[:-1])) + 1
             starts, ends, out = np.concatenate([[0], cut]), np.concatenate([cut, [len(fps)]]), []
             if last is not None and last != (which[0], held[0]):
@@ -184,9 +209,9 @@ def _lists(limit: int | None):
     return run
 
 
-def _frame(links: list[tuple[int, int | None]]) -> pd.DataFrame:
+def _frame(links: list[tuple[int, int | None]]) -> pa.RecordBatch:
     links = list(dict.fromkeys(links))
-    return pd.DataFrame({"a": pd.array([a for a, _ in links], "Int64"), "b": pd.array([b for _, b in links], "Int64")})
+    return pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], ["a", "b"])
 
 
 def _met(distinct: DataFrame, place: np.ndarray | None, limit: int | None) -> DataFrame:
@@ -197,7 +222,7 @@ def _met(distinct: DataFrame, place: np.ndarray | None, limit: int | None) -> Da
             yield pd.DataFrame(dict(zip(("which", "held", "fp"), entries(batch["fp"].to_numpy(), place), strict=True)))
 
     met = distinct.select("fp").mapInPandas(index, "which short, held long, fp long").repartition("which", "held").sortWithinPartitions("which", "held")
-    return met.mapInPandas(_lists(limit), "a long, b long")
+    return met.mapInArrow(_lists(limit), "a long, b long")
 
 
 def places(distinct: DataFrame) -> np.ndarray:
@@ -220,41 +245,236 @@ def links(distinct: DataFrame, listed: int = LISTED) -> DataFrame:
     return sure.unionByName(_met(crowded, None, None))
 
 
-def groups(found: DataFrame, listed: int = LISTED) -> DataFrame:
-    """For each distinct fingerprint (fp): its component's root, smallest doc_id (component_id), and whether
-    several documents are in the component (several)."""
-    distinct = checkpoint(found.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies")))
-    rooted = components(links(distinct.select("fp"), listed)).withColumnRenamed("node", "fp")
-    labelled = checkpoint(distinct.join(rooted, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"), (F.col("root").isNotNull() | (F.col("copies") > 1)).alias("several")))
+def _components(distinct: DataFrame, linked: DataFrame, key: str) -> DataFrame:
+    """For each key of distinct fingerprints (with least and copies): its component's root, smallest doc_id
+    (component_id), and whether several documents are in the component (several)."""
+    rooted = components(linked).withColumnRenamed("node", key)
+    labelled = checkpoint(distinct.join(rooted, key, "left").select(key, "least", F.coalesce("root", key).alias("root"), (F.col("root").isNotNull() | (F.col("copies") > 1)).alias("several")))
     lowest = labelled.filter("several").groupBy("root").agg(F.min("least").alias("lowest"))
     # a component may have a third of all fingerprints
     numbered = labelled.withColumn("uid", F.monotonically_increasing_id())
-    return spread_join(numbered, lowest, "root").select("fp", "root", F.when(F.col("several"), F.col("lowest")).otherwise(F.col("least")).alias("component_id"), "several")
+    return spread_join(numbered, lowest, "root").select(key, "root", F.when(F.col("several"), F.col("lowest")).otherwise(F.col("least")).alias("component_id"), "several")
+
+
+def groups(found: DataFrame, listed: int = LISTED) -> DataFrame:
+    """For each distinct fingerprint (fp): root, component_id and several."""
+    distinct = checkpoint(found.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies")))
+    return _components(distinct, links(distinct.select("fp"), listed), "fp")
 
 
-def _found(found: DataFrame, listed: int) -> DataFrame:
+def _found(found: DataFrame, told: DataFrame) -> DataFrame:
     """Rows (doc_id, fp, uid) with the root of their component and its smallest id (component_id)."""
-    told = groups(found, listed).filter("several").select("fp", F.col("root").alias("_root"), "component_id", "several")
-    joined = spread_join(found, told, "fp")
+    facts = told.filter("several").select("fp", F.col("root").alias("_root"), "component_id", "several")
+    joined = spread_join(found, facts, "fp")
     alone = F.col("several").isNull()
-    return joined.select("doc_id", "fp", "uid", F.coalesce("_root", "fp").alias("root"), F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    return joined.select("doc_id", "fp", "uid", F.col("_root").alias("root"), F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
 def near_duplicates(docs: DataFrame, listed: int = LISTED) -> DataFrame:
     """One row per document: doc_id, fingerprint (16 hexadecimal digits), component_id."""
-    return _found(checkpoint(with_fingerprint(docs)), listed).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    found = checkpoint(with_fingerprint(docs))
+    return _found(found, groups(found, listed)).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+# --- similar texts, whose fingerprints differ in too many bits for the minimum to be guaranteed ------
 
 
-def near_dedup(docs: DataFrame, listed: int = LISTED) -> DataFrame:
-    """One document of each component, the one with the smallest id; all columns as they were.
+def bits_apart(similarity: float) -> float:
+    """Expected share of bits in which the fingerprints of two equally long texts differ that share their
+    shingles to this degree (Jaccard)."""
+    return math.acos(2 * similarity / (1 + similarity)) / math.pi
+
+
+@dataclass(frozen=True)
+class Wide:
+    """How similar texts are found by long fingerprints.
+
+    At a similarity of 0.8 about 39 of 256 bits differ and 8 or 9 of the 32 bytes agree, too few for
+    single sets of positions to be sure. The index therefore has as many sets of `size` positions as it
+    takes for two texts of that similarity to agree in one of them with probability `recall`; the size
+    grows with the logarithm of the texts, so that lists stay short.
+    """
+
+    similarity: float = 0.8
+    words: int = 5
+    lanes: int = 4
+    recall: float = 0.97
+
+    @property
+    def n_bytes(self) -> int:
+        return 8 * self.lanes
+
+    @property
+    def max_bits(self) -> int:
+        """Bits of difference that are linked: one standard deviation above the expected ones."""
+        p = bits_apart(self.similarity)
+        n = 8 * self.n_bytes
+        return int(n * p + math.sqrt(n * p * (1 - p)))
+
+    @property
+    def min_matches(self) -> int:
+        """Bytes that pairs have to share: what all but one in a hundred pairs of the similarity do."""
+        p, below, k = (1 - bits_apart(self.similarity)) ** 8, 0.0, 0
+        while below + math.comb(self.n_bytes, k) * p**k * (1 - p) ** (self.n_bytes - k) < 0.01:
+            below += math.comb(self.n_bytes, k) * p**k * (1 - p) ** (self.n_bytes - k)
+            k += 1
+        return k
+
+    def size(self, texts: int) -> int:
+        return max(2, math.ceil(math.log(max(texts, 1) / 64, 256)))
+
+    def sets(self, size: int) -> np.ndarray:
+        """Sets of positions: rotations of random ones, so that all positions serve alike."""
+        p = (1 - bits_apart(self.similarity)) ** (8 * size)
+        needed = math.ceil(math.log(1 - self.recall) / math.log(1 - p))
+        rng, found = np.random.default_rng(size), {}
+        while len(found) < needed:
+            first = rng.choice(self.n_bytes, size, replace=False)
+            for k in range(self.n_bytes):
+                found.setdefault(tuple(sorted(int(x + k) % self.n_bytes for x in first)))
+        return np.array(list(found)[:needed])
+
+
+def long_fingerprint(text: str | None, wide: Wide) -> bytes:
+    """The SimHash of a text over several lanes, each a mixture of the shingles' XXH64."""
+    import xxhash
+
+    words = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
+    if not words:
+        return bytes(wide.n_bytes)
+    size = wide.words if len(words) >= wide.words else len(words)
+    n = len(words) - size + 1
+    hashed, counts = xxhash.xxh64_intdigest, np.zeros(64 * wide.lanes, np.int64)
+    for start in range(0, n, CHUNK):
+        part = words[start : min(start + CHUNK, n) + size - 1]
+        values = np.fromiter((hashed(b" ".join(x), SEED) for x in zip(*(part[i:] for i in range(size)), strict=False)), np.uint64)
+        lanes = np.empty((len(values), wide.lanes), np.uint64)
+        for k in range(wide.lanes):  # the finalizer of SplitMix64
+            z = values + np.uint64(0x9E3779B97F4A7C15 * (k + 1) & (1 << 64) - 1)
+            z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+            z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+            lanes[:, k] = z ^ (z >> np.uint64(31))
+        counts += np.unpackbits(lanes.view(np.uint8), axis=1).sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * counts > n).tobytes()
+
+
+def alike(a: np.ndarray, b: np.ndarray, wide: Wide) -> np.ndarray:
+    """Whether fingerprints (rows of lanes) share enough bytes and, of those that do, differ in few bits."""
+    x = a ^ b
+    shape = x.shape[:-1]
+    found = (x.view(np.uint8).reshape(*shape, 8 * wide.lanes) == 0).sum(-1, dtype=np.uint8) >= wide.min_matches
+    found[found] = np.bitwise_count(x[found]).sum(-1, dtype=np.int64) <= wide.max_bits
+    return found
+
+
+def wide_stars(nodes: np.ndarray, fps: np.ndarray, wide: Wide) -> tuple[np.ndarray, np.ndarray]:
+    """Links (node, root) between the members of a list.
+
+    Members that are like the first one are together through it, so only the others are compared
+    with all: a list of copies of one text is read once, not pair by pair.
+    """
+    n = len(nodes)
+    near = alike(fps, fps[:1], wide)
+    near[0] = True
+    left, right = [np.flatnonzero(near)], [np.zeros(int(near.sum()), np.int64)]
+    others, step = np.flatnonzero(~near), max(1, PAIRS // (n * wide.lanes))
+    for start in range(0, len(others), step):
+        some = others[start : start + step]
+        i, j = np.nonzero(alike(fps[some][:, None, :], fps[None, :, :], wide))
+        left.append(some[i])
+        right.append(j)
+    i, j = np.concatenate(left), np.concatenate(right)
+    root = _roots(n, i, j)
+    linked = np.flatnonzero(root != np.arange(n))
+    return nodes[linked], nodes[root[linked]]
+
+
+def _wide_lists(wide: Wide):
+    """Links (a, b) of lists sorted by key: rows of key, node and the lanes of the fingerprint."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def read(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            return table["key"].to_numpy(), table["node"].to_numpy(), np.stack([table[f"f{k}"].to_numpy() for k in range(wide.lanes)], axis=1).view(np.uint64)
+
+        def told(key: np.ndarray, node: np.ndarray, fps: np.ndarray) -> pa.RecordBatch:
+            cut = np.flatnonzero(key[1:] != key[:-1]) + 1
+            starts, ends = np.concatenate([[0], cut]), np.concatenate([cut, [len(key)]])
+            size = ends - starts
+            small = np.repeat(size <= SHORT, size)
+            out = [(np.zeros(0, np.int64),) * 2]
+            for apart in range(1, SHORT):  # short lists are compared all at once
+                at = np.flatnonzero((key[apart:] == key[:-apart]) & small[apart:])
+                at = at[alike(fps[at], fps[at + apart], wide)]
+                out.append((node[at + apart], node[at]))
+            for k in np.flatnonzero(size > SHORT):
+                out.append(wide_stars(node[starts[k] : ends[k]], fps[starts[k] : ends[k]], wide))
+            a, b = (np.concatenate(x) for x in zip(*out, strict=True))
+            pairs = np.unique(np.stack([np.maximum(a, b), np.minimum(a, b)]), axis=1)
+            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in pairs], ["a", "b"])
+
+        kept: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        for table in together(batches):
+            rows = read(table)
+            if kept and kept[-1][0][-1] != rows[0][0] or len(np.unique(rows[0][[0, -1]])) > 1:
+                # all lists but the last are complete
+                rows = tuple(np.concatenate(x) for x in zip(*kept, rows, strict=True))
+                last = int(np.searchsorted(rows[0], rows[0][-1]))
+                if last:
+                    yield told(*(x[:last] for x in rows))
+                kept = [tuple(x[last:] for x in rows)]
+            else:
+                kept.append(rows)
+        if kept:
+            yield told(*(np.concatenate(x) for x in zip(*kept, strict=True)))
+
+    return run
+
+
+def similar_links(distinct: DataFrame, texts: int, wide: Wide) -> DataFrame:
+    """Links (a, b) between the nodes of distinct long fingerprints (node, fp) of similar texts."""
+    ship(distinct.sparkSession)
+    sets, lanes = wide.sets(wide.size(texts)), [f"f{k}" for k in range(wide.lanes)]
+
+    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            data = np.frombuffer(b"".join(batch["fp"].to_pylist()), np.uint8).reshape(n, -1)
+            key = np.repeat(np.arange(len(sets), dtype=np.int64), n)
+            for k in range(sets.shape[1]):
+                key = key << 8 | data[:, sets[:, k]].T.ravel()
+            words = data.view(np.int64)
+            columns = [pa.array(key), pa.array(np.tile(batch["node"].to_numpy(), len(sets))), *(pa.array(np.tile(words[:, k], len(sets))) for k in range(wide.lanes))]
+            yield pa.RecordBatch.from_arrays(columns, ["key", "node", *lanes])
+
+    met = distinct.select("node", "fp").mapInArrow(index, "key long, node long, " + ", ".join(f"{x} long" for x in lanes))
+    return met.repartition("key").sortWithinPartitions("key").mapInArrow(_wide_lists(wide), "a long, b long").distinct()
+
+
+def similar(found: DataFrame, wide: Wide = Wide()) -> DataFrame:  # noqa: B008
+    """Rows (doc_id, fp, uid), fp a long fingerprint, with root and component_id."""
+    distinct = checkpoint(found.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies")).withColumn("node", F.monotonically_increasing_id()))
+    told = _components(distinct, similar_links(distinct, distinct.count(), wide), "node")
+    return _found(found, told.join(distinct.select("node", "fp"), "node"))
+
+
+def near_dedup(docs: DataFrame, wide: Wide = Wide()) -> DataFrame:  # noqa: B008
+    """One document of each group of similar texts, the one with the smallest id; all columns as they were.
 
     Rows that share that id are told apart by their text, of full repetitions one stays.
     """
-    id_ = {"id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "none": F.col("doc_id").isNull(), "h": F.xxhash64(text_of())}
     ship(docs.sparkSession)
-    found = checkpoint(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.pandas_udf(_fingerprints, "long")(text_of()).alias("fp"), id_["h"].alias("h"), F.monotonically_increasing_id().alias("uid")))
-    told = _found(found, listed).join(found.select("uid", "h"), "uid")
-    least = told.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min(F.struct("doc_id", "h")).alias("x")).select("x.*")
-    keep = least.select(*(c.alias(name) for name, c in id_.items() if name != "h"), "h")
+    id_ = {"id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "none": F.col("doc_id").isNull(), "h": F.xxhash64(text_of())}
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([long_fingerprint(x, wide) for x in texts])
+
+    found = checkpoint(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.pandas_udf(run, "binary")(text_of()).alias("fp"), id_["h"].alias("h"), F.monotonically_increasing_id().alias("uid")))
+    told = similar(found.select("doc_id", "fp", "uid"), wide).join(found.select("uid", "h"), "uid")
+    best = told.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    several = best.filter("root is not null").groupBy("root").agg(F.min(F.struct("doc_id", "h")).alias("x")).select("x.*")
+    keep = several.unionByName(best.filter("root is null").select("doc_id", "h")).select(*(c.alias(name) for name, c in id_.items() if name != "h"), "h")
     once = packed(docs, **id_, o=row_hash(docs)).groupBy(*id_).agg(F.min_by("row", "o").alias("row"))
     return unpacked(once.join(keep, list(id_), "left_semi"))
