@@ -12,6 +12,7 @@ from itertools import pairwise
 import duckdb
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -133,8 +134,6 @@ def test_near_duplicates(spark, edge, none):
     fps = [int(r["fingerprint"], 16) for r in got]
     assert len(got) == len(EDGE) and simhash.near_duplicates(none).count() == 0
     assert [r["component_id"] for r in got] == plain_components([r["doc_id"] for r in got], fps)
-    kept = simhash.near_dedup(edge)
-    assert kept.columns == edge.columns and kept.count() == len(set(plain_components(list(range(len(got))), fps)))
 
 
 def test_links_are_complete(spark):
@@ -161,19 +160,33 @@ def test_links_are_complete(spark):
     assert all(roots.get(int(v), int(v)) == p for v, p in zip(crowd, plain, strict=True))
 
 
-def test_lists_over_batches():
+def batches_of(rows, size):
+    return iter(pa.Table.from_pandas(rows, preserve_index=False).to_batches(max_chunksize=size))
+
+
+def pairs_of(batches):
+    return {x for out in batches for x in zip(out["a"].to_pylist(), out["b"].to_pylist(), strict=True)}
+
+
+def test_lists_over_batches(monkeypatch):
+    monkeypatch.setattr(simhash, "together", lambda batches: batches)
     rng = np.random.default_rng(5)
     fps = np.sort(np.unique(rng.integers(0, 1 << 9, 400)))
     rows = pd.DataFrame(dict(zip(("which", "held", "fp"), simhash.entries(fps, None), strict=True))).sort_values(["which", "held"], kind="stable")
-    whole = {x for out in simhash._lists(None)(iter([rows])) for x in zip(out["a"], out["b"], strict=True)}
+    whole = pairs_of(simhash._lists(None)(batches_of(rows, 1 << 20)))
     for size in (1, 2, 7, 300):
-        parts = [rows.iloc[k : k + size] for k in range(0, len(rows), size)]
-        assert {x for out in simhash._lists(None)(iter(parts)) for x in zip(out["a"], out["b"], strict=True)} == whole
-        crowded = {a for out in simhash._lists(5)(iter(parts)) for a, b in zip(out["a"], out["b"], strict=True) if b is pd.NA}
+        assert pairs_of(simhash._lists(None)(batches_of(rows, size))) == whole
+        crowded = {a for a, b in pairs_of(simhash._lists(5)(batches_of(rows, size))) if b is None}
         lengths = rows.groupby(["which", "held"])["fp"].transform("size")
         assert crowded == set(rows["fp"][lengths > 5])
 
 
+def test_together():
+    table = pa.table({"x": list(range(1000))})
+    got = list(simhash.together(iter(table.to_batches(max_chunksize=7)), rows=50))
+    assert pa.concat_tables(got).equals(table) and len(got) == 18
+
+
 def test_pairs_that_reach_the_count_meet():
     rng = np.random.default_rng(6)
     place = rng.permutation(2048).reshape(8, 256)
@@ -187,6 +200,83 @@ def test_pairs_that_reach_the_count_meet():
         assert mine[0] & mine[1]
 
 
+def edited(rng, words, share):
+    return " ".join(rng.choice(words) if rng.random() < share else w for w in words)
+
+
+WIDE = simhash.Wide()
+
+
+def test_long_fingerprints():
+    assert (WIDE.max_bits, WIDE.min_matches, WIDE.size(250_000), WIDE.size(10**9)) == (44, 3, 2, 3)
+    for n in (2, 3):
+        sets = WIDE.sets(n)
+        assert len({tuple(x) for x in sets}) == len(sets) and (np.diff(sets, axis=1) > 0).all()
+    rng = random.Random(1)
+    words = [f"w{rng.randint(0, 5000)}" for _ in range(3 * simhash.CHUNK)]
+    whole = simhash.long_fingerprint(" ".join(words), WIDE)
+    simhash.CHUNK, kept = 1000, simhash.CHUNK
+    assert simhash.long_fingerprint(" ".join(words), WIDE) == whole
+    simhash.CHUNK = kept
+    assert simhash.long_fingerprint("A b  C", WIDE) == simhash.long_fingerprint("a B\nc", WIDE) != simhash.long_fingerprint("", WIDE) == bytes(32)
+
+
+def test_lists_of_long_fingerprints(monkeypatch):
+    monkeypatch.setattr(simhash, "together", lambda batches: (pa.Table.from_batches([b]) for b in batches))
+    rng = np.random.default_rng(8)
+    centres = rng.integers(0, 256, (6, 32), dtype=np.uint8)
+    fps = np.concatenate([centres[k] ^ np.packbits(rng.random((40, 256)) < 0.09, axis=1) for k in range(6)]).view(np.int64)
+    key = np.sort(rng.choice(12, len(fps), p=np.array([30, 1, 1, 5, 3, 20, 1, 2, 7, 9, 1, 20]) / 100))
+    rows = pd.DataFrame({"key": key, "node": rng.permutation(len(fps)), **{f"f{k}": fps[:, k] for k in range(4)}})
+
+    def parts(links):
+        root = {n: n for n in rows["node"]}
+
+        def find(x):
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        for a, b in links:
+            root[find(a)] = find(b)
+        found = defaultdict(set)
+        for n in root:
+            found[find(n)].add(n)
+        return {frozenset(c) for c in found.values()}
+
+    words, nodes = fps.view(np.uint64), rows["node"].tolist()
+    want = {(nodes[i], nodes[j]) for i in range(len(fps)) for j in range(i) if key[i] == key[j] and simhash.alike(words[i : i + 1], words[j : j + 1], WIDE)[0]}
+    assert len(want) > 100
+    for size in (1, 3, 50, 1000):
+        assert parts(pairs_of(simhash._wide_lists(WIDE)(batches_of(rows, size)))) == parts(want)
+
+
+def test_similar_texts(spark):
+    rng = random.Random(9)
+    vocabulary = [f"w{k}" for k in range(3000)]
+    texts = []
+    for k in range(60):
+        words = rng.choices(vocabulary, k=rng.randint(80, 400))
+        texts += [" ".join(words), *(edited(rng, words, rng.choice([0.005, 0.01, 0.02, 0.2])) for _ in range(k % 5))]
+    docs = frame(spark, *((k, t, "s") for k, t in enumerate(texts)))
+    fps = np.stack([np.frombuffer(simhash.long_fingerprint(t, WIDE), np.uint64) for t in texts])
+    apart = np.bitwise_count(fps[:, None] ^ fps[None]).sum(-1)
+    root = list(range(len(texts)))
+    for _ in range(10):
+        root = [min(root[j] for j in np.flatnonzero(apart[k] <= WIDE.max_bits)) for k in range(len(texts))]
+    kept = {r["doc_id"] for r in simhash.near_dedup(docs).select("doc_id").collect()}
+    assert set(root) <= kept and len(kept - set(root)) <= 2 < len(texts) - len(set(root))
+
+
+def test_near_dedup_of_edge_cases(spark, edge, none):
+    kept = simhash.near_dedup(edge)
+    assert kept.columns == edge.columns and simhash.near_dedup(none).count() == 0
+    fps = np.stack([np.frombuffer(simhash.long_fingerprint(t, WIDE), np.uint64) for _, t, _ in EDGE])
+    near = np.bitwise_count(fps[:, None] ^ fps[None]).sum(-1) <= WIDE.max_bits
+    groups = {frozenset(np.flatnonzero(row).tolist()) for row in near}
+    assert kept.count() == len(groups) and sum(map(len, groups)) == len(EDGE)  # no group overlaps another
+
+
 @needs_data
 def test_simhash_on_tables(spark):
     got = registry.QUERIES["op3_simhash"](spark, DATA).toPandas().sort_values("doc_id").reset_index(drop=True)
@@ -709,8 +799,11 @@ def test_pipeline(spark):
             content = before["text"].str.replace(r"[\x20\x09-\x0D]", "", regex=True)
             assert len(after) == content.nunique()
         elif name == "near dedup":
-            fps = [plain_fingerprint(t) for t in before["text"]]
-            assert sorted(after["doc_id"]) == sorted(set(plain_components(before["doc_id"].tolist(), fps)))
+            fps = np.stack([np.frombuffer(simhash.long_fingerprint(t, WIDE), np.uint64) for t in before["text"]])
+            near = np.bitwise_count(fps[:, None] ^ fps[None]).sum(-1) <= WIDE.max_bits
+            ids = before["doc_id"].to_numpy()
+            alone = set(ids[near.sum(1) == 1].tolist())
+            assert alone <= set(after["doc_id"]) and len(after) <= len(alone) + 0.6 * (len(ids) - len(alone))
         elif name == "mixing":
             assert abs(after["text"].str.split().str.len().sum() - 1.5 * before["text"].str.split().str.len().sum()) < 20 * before["text"].str.split().str.len().max()
         else:
@@ -719,3 +812,19 @@ def test_pipeline(spark):
         assert name == corpus_pipeline.STAGES[-1][0] or out.columns == columns
         docs = out
     assert corpus_pipeline.run(spark, DATA).count() == docs.count()
+
+
+@needs_data
+@pytest.mark.parametrize("rows", [EDGE, []])
+def test_pipeline_of_edge_cases(spark, tmp_path, rows):
+    import corpus_pipeline
+
+    folder = str(tmp_path)
+    frame(spark, *rows).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(9, 1, 0), (None, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    columns = docs.columns
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = common.checkpoint(stage(spark, docs, folder))
+        assert docs.columns == columns, name
+    assert corpus_pipeline.run(spark, folder).count() == docs.count()
