@@ -57,6 +57,34 @@ def midpoint(line: Column) -> Column:
     return interpolate(line, length(line) / 2)
 
 
+def centroid(line: Column) -> Column:
+    """The mean of the segments' midpoints, weighted by their lengths."""
+    zero = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y"))
+
+    def step(total: Column, s: Column) -> Column:
+        part, at = distance(s["a"], s["b"]), between(s["a"], s["b"], F.lit(0.5))
+        return F.struct((total["n"] + part).alias("n"), (total["x"] + part * at["x"]).alias("x"), (total["y"] + part * at["y"]).alias("y"))
+
+    return F.aggregate(segments(line), zero, step, lambda t: F.when(t["n"] > 0, point(t["x"] / t["n"], t["y"] / t["n"])).otherwise(F.element_at(line, 1)))
+
+
+def inner_point(rings: Column) -> Column:
+    """A point inside a polygon (rings, holes after the shell): the middle of the widest stretch of a level line.
+
+    The level lies between two neighbouring heights of vertices, next to the middle of the polygon, so that it meets no vertex.
+    """
+    heights = F.array_sort(F.array_distinct(F.flatten(F.transform(rings, lambda r: F.transform(r, lambda p: p["y"])))))
+    middle = (F.array_min(heights) + F.array_max(heights)) / 2
+    below, above = F.array_max(F.filter(heights, lambda y: y <= middle)), F.array_min(F.filter(heights, lambda y: y > middle))
+    level = (below + F.coalesce(above, below)) / 2
+    closed = F.transform(rings, lambda r: F.concat(r, F.slice(r, 1, 1)))
+    crossings = F.flatten(F.transform(closed, lambda r: F.transform(F.filter(segments(r), lambda s: (s["a"]["y"] > level) != (s["b"]["y"] > level)), lambda s: s["a"]["x"] + (level - s["a"]["y"]) * (s["b"]["x"] - s["a"]["x"]) / (s["b"]["y"] - s["a"]["y"]))))
+    xs = F.array_sort(crossings)
+    starts = F.filter(F.transform(xs, lambda x, i: F.when(i % 2 == 0, F.struct((F.get(xs, i + 1) - x).alias("wide"), x.alias("x")))), lambda x: x.isNotNull())
+    widest = F.array_max(starts)
+    return F.when(F.size(xs) > 1, point(widest["x"] + widest["wide"] / 2, level)).otherwise(F.element_at(F.element_at(rings, 1), 1))
+
+
 def segment_share(px: Column, py: Column, a: Column, b: Column) -> Column:
     """Where on a segment the nearest point to (px, py) lies, 0 to 1."""
     dx, dy = b["x"] - a["x"], b["y"] - a["y"]

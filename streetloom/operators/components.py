@@ -5,7 +5,7 @@ from __future__ import annotations
 import warnings
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..model import CityGraph
@@ -196,5 +196,8 @@ def keep_largest(graph: CityGraph, mode: str = "auto") -> CityGraph:
 
 
 def ranked_sizes(components: DataFrame) -> DataFrame:
-    """Sizes with their place; one row a component."""
-    return sizes(components).withColumn("place", F.row_number().over(Window.orderBy(F.desc("size"), "least_text")))
+    """Sizes with their place, the largest first; one row a component."""
+    from .order import dense_positions
+
+    placed = dense_positions(sizes(components), [F.desc("size"), F.col("least_text")], "place")
+    return placed.withColumn("place", (F.col("place") + 1).cast("int"))

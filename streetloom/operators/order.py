@@ -7,7 +7,9 @@ import tempfile
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-BLOCKS = 32
+#: Rows of an ordered block, about, and the least number of blocks.
+BLOCK_ROWS = 500_000
+MIN_BLOCKS = 8
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -27,12 +29,16 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def dense_positions(df: DataFrame, order: list[Column], name: str = "pos", blocks: int = BLOCKS) -> DataFrame:
+def dense_positions(df: DataFrame, order: list[Column], name: str = "pos", blocks: int | None = None) -> DataFrame:
     """Add 0, 1, 2, … in the given order.
 
     Rows are range-partitioned, numbered inside their block, and shifted by the sizes of the
-    earlier blocks; only those sizes, one a block, meet in one task.
+    earlier blocks; only those sizes, one a block, meet in one task. The number of blocks
+    grows with the rows.
     """
+    if blocks is None:
+        df = checkpoint(df)
+        blocks = max(MIN_BLOCKS, df.count() // BLOCK_ROWS + 1)
     cut = checkpoint(df.repartitionByRange(blocks, *order).withColumn("_block", F.spark_partition_id()))
     sizes = cut.groupBy("_block").agg(F.count(F.lit(1)).alias("_size"))
     shifts = sizes.withColumn("_shift", F.coalesce(F.sum("_size").over(Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_size")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import geom
 from ..model import CORE, PREVIEW, CityGraph, GraphChanges, GraphMeta
 
 
@@ -65,18 +66,44 @@ def validate_changes(changes: GraphChanges) -> None:
         raise ValueError(f"invalid changes: {wrong}")
 
 
+def located(objects: DataFrame) -> DataFrame:
+    """Objects with x and y: those of points as they are, lines by their middle, polygons by a point inside."""
+    kind = dict(objects.dtypes).get("geometry")
+    if kind is None or {"x", "y"} <= set(objects.columns):
+        return objects
+    at = geom.inner_point(F.col("geometry")) if kind.startswith("array<array<") else geom.midpoint(F.col("geometry")) if kind.startswith("array<") else F.col("geometry")
+    return objects.withColumns({"x": at["x"], "y": at["y"]})
+
+
 def resolve_nodes(graph: CityGraph, nodes: DataFrame | None = None, objects: DataFrame | None = None, node_column: str | None = None) -> DataFrame:
-    """(object_id, node_id) of node ids, or of objects that carry their node or snap to the nearest one."""
+    """(object_id, node_id) of node ids, or of objects that carry their node or snap to the nearest one.
+
+    Objects are points (x, y), lines or polygons (geometry).
+    """
     if (nodes is None) == (objects is None):
         raise ValueError("give either nodes or objects")
+    repeated = graph.nodes.groupBy("node_id").count().filter("count > 1")
+    if graph.nodes.isEmpty():
+        raise ValueError("the graph is empty")
+    if not repeated.isEmpty():
+        raise ValueError(f"node ids are repeated: {preview(repeated.select('node_id'))}")
+    given, said = (nodes, "nodes") if nodes is not None else (objects, "objects")
+    if given.isEmpty():
+        raise ValueError(f"there are no {said}")
     if nodes is not None:
         found = nodes.select(F.col("node_id").alias("object_id"), "node_id")
-    elif node_column is not None and node_column in objects.columns:
-        found = objects.select("object_id", F.col(node_column).cast("long").alias("node_id"))
     else:
-        from .spatial import nearest_nodes
+        twice = objects.groupBy("object_id").count().filter("count > 1")
+        if not twice.isEmpty():
+            raise ValueError(f"object ids are repeated: {preview(twice.select('object_id'))}")
+        if node_column is None or node_column not in objects.columns:
+            from .spatial import nearest_nodes
 
-        return nearest_nodes(graph, objects).select("object_id", "node_id")
+            return nearest_nodes(graph, located(objects)).select("object_id", "node_id")
+        found = objects.select("object_id", F.col(node_column).cast("long").alias("node_id"))
+    empty = found.filter("node_id is null")
+    if not empty.isEmpty():
+        raise ValueError(f"{said} without a node: {preview(empty.select('object_id'))}")
     missing = found.join(graph.nodes.select("node_id"), "node_id", "left_anti")
     if not missing.isEmpty():
         raise ValueError(f"not nodes of the graph: {preview(missing.select('node_id'))}")

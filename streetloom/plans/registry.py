@@ -8,12 +8,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import geom, tags
+from ..functions import cells, geom, tags
 from ..functions.crs import from_utm, to_utm
 from ..functions.registry import TransportRegistry, travel_time
 from ..model import CityGraph, GraphChanges, GraphMeta
 from ..operators import components, edit, paths, projection, spatial
 from ..operators.arcs import arcs
+from ..operators.merge import combine_first
 from ..operators.order import shared_folder
 from ..operators.validation import report
 from ..sources.archive import read_graph, write_graph
@@ -143,39 +144,18 @@ def parallel_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _od(limit: str) -> str:
-    return f"with recursive {C1}, {C4}, {_many('select distinct node_id, node_id, 0::float from o where object_id % 5 = 0', limit)} select p.object_id as origin_id, q.object_id as dest_id, r.dist from r join o p on p.node_id = r.source and p.object_id % 5 = 0 join o q on q.node_id = r.node"
+    return f"with recursive {C1}, {C4}, {_many('select distinct node_id, node_id, 0::float from o', limit)} select p.object_id as origin_id, q.object_id as dest_id, r.dist from r join o p on p.node_id = r.source join o q on q.node_id = r.node"
 
 
 @query("od_matrix", _od(""))
 def od_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """From every fifth object to all; od_matrix_all has all pairs."""
-    places = objects(spark, sf_dir).select("object_id", "node_id")
-    return paths.od_matrix(street_grid(spark, sf_dir), places.filter("object_id % 5 = 0"), places)
-
-
-@query("od_threshold", _od(" and r.dist + a.w <= 1.5::float"))
-def od_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """From every fifth object to all within 1.5 minutes; od_threshold_all has all pairs."""
-    places = objects(spark, sf_dir).select("object_id", "node_id")
-    return paths.od_matrix(street_grid(spark, sf_dir), places.filter("object_id % 5 = 0"), places, threshold=1.5)
-
-
-@query("od_turned", f"with recursive {C1.replace('a as (select s, d,', 'a as (select d as s, s as d,')}, {C4}, {_many('select distinct node_id, node_id, 0::float from o where object_id % 5 = 0', ' and r.dist + a.w <= 1.5::float')} select p.object_id as origin_id, q.object_id as dest_id, r.dist from r join o q on q.node_id = r.source and q.object_id % 5 = 0 join o p on p.node_id = r.node")
-def od_turned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """From all objects to every fifth within 1.5 minutes, searched from the destinations."""
-    places = objects(spark, sf_dir).select("object_id", "node_id")
-    return paths.od_matrix(street_grid(spark, sf_dir), places, places.filter("object_id % 5 = 0"), threshold=1.5)
-
-
-@query("od_matrix_all")
-def od_matrix_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pairs of objects that a path joins."""
     places = objects(spark, sf_dir).select("object_id", "node_id")
     return paths.od_matrix(street_grid(spark, sf_dir), places, places)
 
 
-@query("od_threshold_all")
-def od_threshold_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query("od_threshold", _od(" and r.dist + a.w <= 1.5::float"))
+def od_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pairs of objects within 1.5 minutes."""
     places = objects(spark, sf_dir).select("object_id", "node_id")
     return paths.od_matrix(street_grid(spark, sf_dir), places, places, threshold=1.5)
@@ -490,6 +470,25 @@ def intermodal_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transit.join_transit_walk(lines, street_grid(spark, sf_dir)).edges.select("edge_id", "u", "v", "k", "length_meter", "time_min", "oneway", "type", "route")
 
 
+@query(
+    "combine_first",
+    """with c as (select c_nationkey as nation, min(c_acctbal) as balance, min(c_name) as richest from customer where c_acctbal > 9900 group by 1),
+s as (select s_nationkey as nation, min(s_acctbal) as balance, count(*) as suppliers from supplier group by 1)
+select coalesce(c.nation, s.nation)::bigint as nation, coalesce(c.balance, s.balance)::double as balance, richest, suppliers from c full join s on c.nation = s.nation""",
+)
+def combined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Facts of nations from rich customers, completed by those of suppliers."""
+    rich = table(spark, sf_dir, "customer").filter("c_acctbal > 9900").groupBy(F.col("c_nationkey").cast("long").alias("nation")).agg(F.min("c_acctbal").cast("double").alias("balance"), F.min("c_name").alias("richest"))
+    others = table(spark, sf_dir, "supplier").groupBy(F.col("s_nationkey").cast("long").alias("nation")).agg(F.min("s_acctbal").cast("double").alias("balance"), F.count(F.lit(1)).alias("suppliers"))
+    return combine_first(rich, others, ["nation"])
+
+
+@query("unique_values", "select c_nationkey::bigint as nation, list_aggregate(list_sort(list_distinct(list(c_mktsegment))), 'string_agg', ',') as segments from customer group by 1")
+def uniques(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").cast("long").alias("nation")).agg(cells.unique_values(F.col("c_mktsegment")).alias("segments"))
+    return found.withColumn("segments", F.array_join("segments", ","))
+
+
 @query("archive_roundtrip", f"with {C1} select edge_id, u, v, t as time_min, oneway from e")
 def archive_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_folder(spark)}/{next(tempfile._get_candidate_names())}"

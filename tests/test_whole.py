@@ -8,7 +8,6 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from streetloom.llm import pii
 from streetloom.plans import registry
 from streetloom.plans.derived import objects, street_grid, transit_rides
 
@@ -71,21 +70,5 @@ def test_od_of_all_objects_against_brute_force(spark):
     want = {(a, b): far[s][t] for a, s in places for b, t in places if t in far[s]}
     plain = lambda name: {(r["origin_id"], r["dest_id"]): np.float32(r["dist"]) for r in registry.QUERIES[name](spark, DATA).collect()}
     assert {a for a, _ in want} == {a for a, _ in places}
-    assert plain("od_matrix_all") == want
-    assert plain("od_threshold_all") == {k: d for k, d in want.items() if d <= np.float32(1.5)}
-
-
-def test_surrogates_do_not_run_out(spark, monkeypatch):
-    # eight family names of three syllables for 60 people
-    monkeypatch.setattr(pii, "ONSET", {**pii.ONSET, "latin": ["b", "c"]})
-    monkeypatch.setattr(pii, "VOWEL", {**pii.VOWEL, "latin": ["a"]})
-    monkeypatch.setattr(pii, "LONGER", 2, raising=False)
-    people = [f"Mr. X{a}{b}" for a in "klmnoprs" for b in "abcdefgh"][:60]
-    # every number of its format is an entity
-    phones = spark.range(100_000).select(F.format_string("+1 %s %s %s", F.substring(F.lpad("id", 5, "0"), 1, 1), F.substring(F.lpad("id", 5, "0"), 2, 2), F.substring(F.lpad("id", 5, "0"), 4, 2)).alias("value"))
-    got = pii.surrogates(spark.createDataFrame([(p,) for p in people], "value string").union(phones)).toPandas()
-    assert len(got) == 100_060 and set(got["kind"]) == {"name", "phone"}
-    said = got["surrogate"]
-    assert said.nunique() == len(got) and not set(said) & set(got["value"])
-    assert said[got["kind"] == "name"].str.fullmatch(r"Mr\. [A-Z][a-z]+").all()
-    assert said[got["kind"] == "phone"].str.fullmatch(r"\+1 \d \d\d \d{3,}").all()
+    assert plain("od_matrix") == want
+    assert plain("od_threshold") == {k: d for k, d in want.items() if d <= np.float32(1.5)}
