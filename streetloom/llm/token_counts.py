@@ -2,7 +2,7 @@
 
 The counts are those of the vocabulary's own library. Its pieces have scores, and the
 forward score of a prefix, that of its best split into pieces, does not depend on what
-follows; so the distinct pre-tokens of a task are inserted in one trie, and each node, a
+follows; so the distinct pre-tokens that a worker meets are inserted in one trie, and each node, a
 prefix that many share, is computed once: its forward score, its last piece and its count.
 The ends of pre-tokens store their counts, and a document adds those of its pre-tokens.
 
@@ -36,7 +36,7 @@ from .common import n_words, ship, text_of
 
 VOCABULARY = "piece_bpe_32k.model"
 MARK = "▁"
-#: Nodes and stored counts that a task keeps at most; beyond, the trie starts anew.
+#: Nodes and stored counts that a worker keeps at most; beyond, the trie starts anew.
 NODES = 600_000
 #: Characters beyond which a pre-token leaves no nodes and no count behind.
 LONG = 64
@@ -205,6 +205,19 @@ class Trie:
         return total
 
 
+_tries: dict[int, Trie] = {}
+
+
+def shared_trie(scores: dict[str, float]) -> Trie:
+    """The trie of a vocabulary, one for all tasks of a worker process: the forward scores and counts of
+    prefixes are the same everywhere."""
+    key = hash(frozenset(scores.items()))
+    if key not in _tries:
+        _tries.clear()
+        _tries[key] = Trie(scores)
+    return _tries[key]
+
+
 def read_scores(path: str | None = None) -> dict[str, float]:
     """Pieces and scores of a vocabulary; control and byte pieces are left out."""
     import sentencepiece
@@ -226,7 +239,7 @@ def token_counts(docs: DataFrame, path: str | None = None) -> DataFrame:
     sent = spark.sparkContext.broadcast(read_scores(path))
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        trie = Trie(sent.value)  # one for the whole task
+        trie = shared_trie(sent.value)
         for texts in batches:
             yield pd.Series([trie.tokens(x) for x in texts], dtype="int64")
 
