@@ -36,8 +36,10 @@ from .common import n_words, ship, text_of
 
 VOCABULARY = "piece_bpe_32k.model"
 MARK = "▁"
-#: Nodes and stored counts that a worker keeps at most; beyond, the trie starts anew.
-NODES = 600_000
+#: Nodes that a worker keeps at most; beyond, the trie starts anew.
+NODES = 400_000
+#: Stored counts in each half of a worker's memory: the older half goes when the newer one is full.
+REMEMBERED = 300_000
 #: Characters beyond which a pre-token leaves no nodes and no count behind.
 LONG = 64
 
@@ -65,10 +67,11 @@ class Trie:
         self.ends = {p[i:] for p in self.scores for i in range(len(p))}
         self.unknown = min(self.scores.values(), default=0.0) - 10.0
         self.seams: dict[tuple[str, str], bool] = {}
+        self.terminal: dict[str, int] = {}
+        self.older: dict[str, int] = {}
         self._start()
 
     def _start(self) -> None:
-        self.terminal: dict[str, int] = {}
         #: Child of a node by character; node 0 is the empty prefix.
         self.child: dict[tuple[int, str], int] = {}
         self.last, self.total, self.count, self.first = [""], [0.0], [0], [""]
@@ -110,43 +113,51 @@ class Trie:
             else:
                 return True
 
-    def _node(self, word: str, path: list[int]) -> tuple[str, float, int, str]:
-        """Last piece, forward score, count and first piece of a word whose shorter prefixes are on the path."""
-        end = len(word)
-        best, start = None, end - 1
-        while start >= 0 and (part := word[start:]) in self.ends:
-            score = self.scores.get(part)
-            if score is not None:
-                node = path[start]
-                if not self.merged or not start or self.may_follow(self.last[node], part):
-                    found = (self.total[node] + score, -self.count[node] - 1, part, node)
-                    if best is None or found > best:
-                        best = found
-                    if self.merged:
-                        break  # the only one
-            start -= 1
-        char, node = word[-1], path[end - 1]
-        if char not in self.scores:
-            n_bytes = len(char.encode("utf-8", "surrogatepass"))
-            found = (self.total[node] + self.unknown * n_bytes, -self.count[node] - n_bytes, char, node)
-            if best is None or not self.merged and found > best:
-                best = found
-        total, count, part, node = best
-        return part, total, -count, self.first[node] or part
+    def _extend(self, word: str, path: list[int]) -> None:
+        """Add the prefixes of a word that are longer than those on the path, each computed from shorter ones."""
+        scores, ends, seams, child = self.scores, self.ends, self.seams, self.child
+        last, total, count, first, merged = self.last, self.total, self.count, self.first, self.merged
+        for end in range(len(path), len(word) + 1):
+            start, parts = end - 1, []
+            while start >= 0 and (part := word[start:end]) in ends:
+                if part in scores:
+                    parts.append((part, path[start]))
+                start -= 1
+            char, before = word[end - 1], path[end - 1]
+            best = None
+            if merged:  # one of them fits, most often a long one
+                for part, node in reversed(parts):
+                    if node:
+                        fits = seams.get((last[node], part))
+                        if fits is None:
+                            fits = self.may_follow(last[node], part)
+                        if not fits:
+                            continue
+                    best = (total[node] + scores[part], -count[node] - 1, part, node)
+                    break
+            else:
+                best = max(((total[node] + scores[part], -count[node] - 1, part, node) for part, node in parts), default=None)
+            if char not in scores and (best is None or not merged):
+                n_bytes = len(char.encode("utf-8", "surrogatepass"))
+                bytewise = (total[before] + self.unknown * n_bytes, -count[before] - n_bytes, char, before)
+                best = bytewise if best is None else max(best, bytewise)
+            score, pieces, part, node = best
+            at = len(last)
+            child[before, char] = at
+            last.append(part)
+            total.append(score)
+            count.append(-pieces)
+            first.append(first[node] or part)
+            path.append(at)
 
     def walk(self, word: str) -> int:
         """The node of a word; nodes that lacked are computed."""
-        path, child = [0], self.child
-        for k, char in enumerate(word, 1):
-            at = child.get((path[-1], char))
-            if at is None:
-                part, total, count, first = self._node(word[:k], path)
-                at = len(self.last)
-                child[path[-1], char] = at
-                self.last.append(part)
-                self.total.append(total)
-                self.count.append(count)
-                self.first.append(first)
+        path, at, find = [0], 0, self.child.get
+        for char in word:
+            at = find((at, char))
+            if at is None:  # nor are there longer ones
+                self._extend(word, path)
+                break
             path.append(at)
         return path[-1]
 
@@ -165,13 +176,24 @@ class Trie:
 
     def pieces(self, chunk: str) -> int:
         """Pieces of a pre-token: marks, if any, and a word."""
-        known = self.terminal.get(chunk)
-        if known is not None:
-            return known
+        said, chunk = chunk, chunk.replace(" ", MARK)
+        known = self.terminal.get(said)
+        if known is None:
+            known = self.older.get(said)
+            if known is None:
+                known = self._counted(chunk)
+            if len(chunk) <= LONG:
+                if len(self.terminal) >= REMEMBERED:
+                    self.terminal, self.older = {}, self.terminal
+                self.terminal[said] = known
+        return known
+
+    def _counted(self, chunk: str) -> int:
         word = chunk.lstrip(MARK)
         marks = len(chunk) - len(word)
-        if len(self.last) + len(self.terminal) > NODES:
+        if len(self.last) > NODES:
             self._start()
+        nodes = len(self.last)
         if self.merged and marks and not word:
             known = self._spaces(marks)
         elif self.merged and marks > 1:
@@ -180,10 +202,11 @@ class Trie:
             known = self.count[node] - 1 + self._spaces(marks) if alone else self.count[node] + self._spaces(marks - 1)
         else:
             known = self.count[self.walk(chunk)]
-        if len(chunk) <= LONG:
-            self.terminal[chunk] = known
-        else:
-            self._start()  # what a very long word leaves is of no use to others
+        if len(chunk) > LONG:  # what it leaves is of no use to others
+            for column in (self.last, self.total, self.count, self.first):
+                del column[nodes:]
+            while len(self.child) >= nodes:
+                self.child.popitem()
         return known
 
     def tokens(self, text: str) -> int:
@@ -192,12 +215,11 @@ class Trie:
             return 0
         if "\n" in self.ends:
             raise ValueError("pre-tokens are cut at line feeds, which are part of a piece")
-        total, terminal = 0, self.terminal
-        for chunk, n in Counter(_CHUNKS(" " + text.replace(MARK, " "))).items():
-            if chunk == "\n":
-                total += n
-                continue
-            chunk = chunk.replace(" ", MARK)
+        if MARK in text:
+            text = text.replace(MARK, " ")
+        said = Counter(_CHUNKS(" " + text))
+        total, terminal = said.pop("\n", 0), self.terminal
+        for chunk, n in said.items():
             known = terminal.get(chunk)
             if known is None:
                 known, terminal = self.pieces(chunk), self.terminal
