@@ -665,10 +665,11 @@ def test_token_counts(spark, edge, none):
         word = "▁" + "".join(rng.choices("abé", k=rng.randint(0, 7)))
         best = max(s for s, _ in every(word))
         assert trie.pieces(word) in {c for s, c in every(word) if abs(s - best) < 1e-9}
-    token_counts.NODES, kept = 1, token_counts.NODES
+    kept = token_counts.NODES, token_counts.REMEMBERED
+    token_counts.NODES, token_counts.REMEMBERED = 1, 1
     small = token_counts.Trie(scores, merged=False)
     assert [small.pieces(w) for w in ("▁abab", "▁ba", "▁abab")] == [trie.pieces(w) for w in ("▁abab", "▁ba", "▁abab")]
-    token_counts.NODES = kept
+    token_counts.NODES, token_counts.REMEMBERED = kept
     real = token_counts.Trie(token_counts.read_scores())
     got = sorted((r["n_words"], r["n_tokens"]) for r in token_counts.token_counts(edge).collect())
     assert got == sorted((len((t or "").split()), real.tokens(t or "")) for _, t, _ in EDGE)
