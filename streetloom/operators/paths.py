@@ -26,8 +26,8 @@ from .arcs import arcs as arcs_of
 from .order import checkpoint, dense_positions
 from .validation import preview
 
-#: Arcs that may be broadcast: 12 bytes each, so 240 MB an executor at most.
-KERNEL_ARCS = 20_000_000
+#: Arcs, and nodes, that may be broadcast: 8 bytes an arc and 16 a node, so 120 MB an executor at most.
+KERNEL_ARCS = 5_000_000
 #: Distances that a task holds at once.
 CELLS = 8_000_000
 
@@ -75,17 +75,17 @@ def relax(indptr: np.ndarray, heads: np.ndarray, weights: np.ndarray, rows: np.n
 
 
 class Csr:
-    """Arcs as arrays, by node positions."""
+    """Arcs as arrays, by places in the ascending ids."""
 
     def __init__(self, arcs: pd.DataFrame, ids: np.ndarray):
-        self.ids = ids
-        by_id = np.argsort(ids, kind="stable")
-        place = lambda x: by_id[np.searchsorted(ids[by_id], x)]
-        src, dst = place(arcs["src"].to_numpy()), place(arcs["dst"].to_numpy())
+        self.ids = np.sort(ids)
+        src, dst = self.place(arcs["src"].to_numpy()), self.place(arcs["dst"].to_numpy())
         order = np.argsort(src, kind="stable")
         self.heads, self.weights = dst[order].astype(np.int32), arcs["w"].to_numpy(np.float32)[order]
         self.indptr = np.searchsorted(src[order], np.arange(len(ids) + 1)).astype(np.int64)
-        self.place = {int(v): k for k, v in enumerate(ids)}
+
+    def place(self, ids: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.ids, ids)
 
 
 def _arcs(graph: CityGraph, weight: str | None, reverse: bool) -> DataFrame:
@@ -103,9 +103,7 @@ def _small(arcs: DataFrame, nodes: DataFrame, limit: int) -> bool:
 
 
 def _collected(graph: CityGraph, arcs: DataFrame) -> Csr:
-    order = ["pos", "node_id"] if "pos" in graph.nodes.columns else ["node_id"]
-    ids = graph.nodes.select(*order).toPandas().sort_values(order)["node_id"].to_numpy(np.int64)
-    return Csr(arcs.toPandas(), ids)
+    return Csr(arcs.toPandas(), graph.nodes.select("node_id").toPandas()["node_id"].to_numpy(np.int64))
 
 
 def _require(graph: CityGraph, sources: DataFrame, column: str = "source") -> None:
@@ -135,8 +133,7 @@ def per_source(graph: CityGraph, sources: DataFrame, weight: str | None = None,
             some = batch["source"].to_numpy()
             for k in range(0, len(some), step):
                 part = some[k : k + step]
-                at = np.array([csr.place[int(s)] for s in part])
-                seen, cell = relax(csr.indptr, csr.heads, csr.weights, np.arange(len(part)), at, len(part), limit)
+                seen, cell = relax(csr.indptr, csr.heads, csr.weights, np.arange(len(part)), csr.place(part), len(part), limit)
                 yield pd.DataFrame({"source": part[seen // n], "node": csr.ids[seen % n], "dist": (cell >> np.uint64(32)).astype(np.uint32).view(np.float32)})
 
     dealt = seeds.repartition(max_workers, "source") if max_workers else seeds.repartition("source")
@@ -148,15 +145,14 @@ def _from_many(graph: CityGraph, seeds: DataFrame, arcs: DataFrame, limit: np.fl
     if not _small(arcs, graph.nodes, kernel_arcs):
         start = seeds.select(F.lit(0).cast("long").alias("source"), "node", F.lit(0.0).cast("float").alias("dist"), "owner")
         return _by_joins(arcs, start, limit).select("node", "dist", "owner")
-    csr = _collected(graph, arcs)
-    at = np.array([csr.place[int(r["node"])] for r in seeds.select("node").collect()], np.int64)  # at most all nodes, which are fewer than the limit
-    sent = graph.spark.sparkContext.broadcast((csr.indptr, csr.heads, csr.weights, csr.ids, at))
+    known = seeds.select("node", "owner").toPandas()  # at most all nodes, which are no more than the limit
+    sent = graph.spark.sparkContext.broadcast((_collected(graph, arcs), known["node"].to_numpy(np.int64), known["owner"].to_numpy(np.int64)))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for _ in batches:
-            indptr, heads, weights, ids, at = sent.value
-            seen, cell = relax(indptr, heads, weights, np.zeros(len(at), np.int64), at, 1, limit, at)
-            yield pd.DataFrame({"node": ids[seen], "dist": (cell >> np.uint64(32)).astype(np.uint32).view(np.float32), "owner": (cell & np.uint64(0xFFFFFFFF)).astype(np.int64)})
+            csr, nodes, owners = sent.value
+            seen, cell = relax(csr.indptr, csr.heads, csr.weights, np.zeros(len(nodes), np.int64), csr.place(nodes), 1, limit, owners)
+            yield pd.DataFrame({"node": csr.ids[seen], "dist": (cell >> np.uint64(32)).astype(np.uint32).view(np.float32), "owner": (cell & np.uint64(0xFFFFFFFF)).astype(np.int64)})
 
     return graph.spark.range(1).mapInPandas(run, "node long, dist float, owner long")
 

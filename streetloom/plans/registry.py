@@ -115,21 +115,27 @@ def multi_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paths.multi_source(street_grid(spark, sf_dir), _every(spark, sf_dir, 97))
 
 
-@query(
-    "nearest_source",
-    f"""with recursive {C1}, r(node, dist, owner) using key (node) as (
+_NEAREST = f"""with recursive {C1}, r(node, dist, owner) using key (node) as (
   select id, 0::float, id from n where id % 97 = 0 union
   select node, dist, owner from (
     select a.d as node, r.dist + a.w as dist, r.owner as owner, q.dist as qd, q.owner as qo,
       row_number() over (partition by a.d order by r.dist + a.w, r.owner) as k
     from r join a on a.s = r.node left join recurring.r q on q.node = a.d)
   where k = 1 and (qd is null or dist < qd or dist = qd and owner < qo))
-select node, owner as source, dist from r""",
-)
+select node, owner as source, dist from r"""
+
+
+@query("nearest_source", _NEAREST)
 def nearest_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paths.nearest_source(street_grid(spark, sf_dir), _every(spark, sf_dir, 97))
 
 
+@query("nearest_source_joins", _NEAREST)
+def nearest_source_joins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by joins of the frontier, as for graphs too large to broadcast."""
+    return paths.nearest_source(street_grid(spark, sf_dir), _every(spark, sf_dir, 97), kernel_arcs=0)
+
+
 def _many(seeds: str, limit: str) -> str:
     return f"""
 r(source, node, dist) using key (source, node) as ({seeds} union
