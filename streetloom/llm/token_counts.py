@@ -63,8 +63,11 @@ class Trie:
                     del self.scores[piece]  # merging never arrives at it
                 else:
                     self.halves[piece] = halves
-        #: All ends of pieces: a search for pieces that end somewhere stops where none goes on.
-        self.ends = {p[i:] for p in self.scores for i in range(len(p))}
+        #: For every end of a piece, the pieces that it ends with, longest first.
+        self.ends: dict[str, tuple[str, ...]] = {"": ()}
+        for end in sorted({p[i:] for p in self.scores for i in range(len(p))}, key=len):
+            self.ends[end] = (end, *self.ends[end[1:]]) if end in self.scores else self.ends[end[1:]]
+        self.longest = max(1, max(map(len, self.ends)))
         self.unknown = min(self.scores.values(), default=0.0) - 10.0
         self.seams: dict[tuple[str, str], bool] = {}
         self.terminal: dict[str, int] = {}
@@ -72,9 +75,8 @@ class Trie:
         self._start()
 
     def _start(self) -> None:
-        #: Child of a node by character; node 0 is the empty prefix.
-        self.child: dict[tuple[int, str], int] = {}
-        self.last, self.total, self.count, self.first = [""], [0.0], [0], [""]
+        #: A node by its prefix: last piece, forward score, count, first piece. All shorter prefixes of one are here too.
+        self.nodes: dict[str, tuple[str, float, int, str]] = {"": ("", 0.0, 0, "")}
 
     def _halves(self, piece: str) -> tuple[str, str] | None:
         parts = list(piece)
@@ -113,52 +115,67 @@ class Trie:
             else:
                 return True
 
-    def _extend(self, word: str, path: list[int]) -> None:
-        """Add the prefixes of a word that are longer than those on the path, each computed from shorter ones."""
-        scores, ends, seams, child = self.scores, self.ends, self.seams, self.child
-        last, total, count, first, merged = self.last, self.total, self.count, self.first, self.merged
+    def _extend(self, word: str, path: list) -> None:
+        """Add the prefixes of a word that are longer than those on the path, each computed from shorter ones.
+
+        The prefixes of a long word are of no use to others: they are let go when no piece reaches back to them.
+        """
+        scores, ends, seams, nodes, merged = self.scores, self.ends, self.seams, self.nodes, self.merged
+        keep, reach = len(word) <= LONG, 1
         for end in range(len(path), len(word) + 1):
-            start, parts = end - 1, []
-            while start >= 0 and (part := word[start:end]) in ends:
-                if part in scores:
-                    parts.append((part, path[start]))
-                start -= 1
-            char, before = word[end - 1], path[end - 1]
+            # the longest end of a piece that stands here: what a shorter one is not, a longer one is not
+            if word[end - reach : end] in ends:
+                while reach < end and word[end - reach - 1 : end] in ends:
+                    reach += 1
+            else:
+                reach -= 1
+                while word[end - reach : end] not in ends:
+                    reach -= 1
             best = None
             if merged:  # one of them fits, most often a long one
-                for part, node in reversed(parts):
-                    if node:
-                        fits = seams.get((last[node], part))
+                for part in ends[word[end - reach : end]]:
+                    start = end - len(part)
+                    last, total, count, first = path[start]
+                    if start:
+                        fits = seams.get((last, part))
                         if fits is None:
-                            fits = self.may_follow(last[node], part)
+                            fits = self.may_follow(last, part)
                         if not fits:
                             continue
-                    best = (total[node] + scores[part], -count[node] - 1, part, node)
+                    best = (part, total + scores[part], count + 1, first or part)
                     break
             else:
-                best = max(((total[node] + scores[part], -count[node] - 1, part, node) for part, node in parts), default=None)
+                for part in ends[word[end - reach : end]]:
+                    _, total, count, first = path[end - len(part)]
+                    best = self._better(best, (part, total + scores[part], count + 1, first or part))
+            char = word[end - 1]
             if char not in scores and (best is None or not merged):
                 n_bytes = len(char.encode("utf-8", "surrogatepass"))
-                bytewise = (total[before] + self.unknown * n_bytes, -count[before] - n_bytes, char, before)
-                best = bytewise if best is None else max(best, bytewise)
-            score, pieces, part, node = best
-            at = len(last)
-            child[before, char] = at
-            last.append(part)
-            total.append(score)
-            count.append(-pieces)
-            first.append(first[node] or part)
-            path.append(at)
-
-    def walk(self, word: str) -> int:
+                _, total, count, first = path[end - 1]
+                best = self._better(best, (char, total + self.unknown * n_bytes, count + n_bytes, first or char))
+            path.append(best)
+            reach = reach or 1
+            if keep:
+                nodes[word[:end]] = best
+            elif end >= self.longest:
+                path[end - self.longest] = None
+
+    @staticmethod
+    def _better(one: tuple | None, other: tuple) -> tuple:
+        """The node of the higher score, then of fewer pieces, then of the last piece by code points."""
+        if one is None:
+            return other
+        return max(one, other, key=lambda node: (node[1], -node[2], node[0]))
+
+    def walk(self, word: str) -> tuple[str, float, int, str]:
         """The node of a word; nodes that lacked are computed."""
-        path, at, find = [0], 0, self.child.get
-        for char in word:
-            at = find((at, char))
-            if at is None:  # nor are there longer ones
+        path, find = [], self.nodes.get
+        for end in range(len(word) + 1):
+            node = find(word[:end])
+            if node is None:  # nor are there longer ones
                 self._extend(word, path)
                 break
-            path.append(at)
+            path.append(node)
         return path[-1]
 
     def _spaces(self, n: int) -> int:
@@ -191,23 +208,15 @@ class Trie:
     def _counted(self, chunk: str) -> int:
         word = chunk.lstrip(MARK)
         marks = len(chunk) - len(word)
-        if len(self.last) > NODES:
+        if len(self.nodes) > NODES:
             self._start()
-        nodes = len(self.last)
         if self.merged and marks and not word:
-            known = self._spaces(marks)
-        elif self.merged and marks > 1:
-            node = self.walk(MARK + word)
-            alone = self.first[node] == MARK  # then the last mark is one of the run
-            known = self.count[node] - 1 + self._spaces(marks) if alone else self.count[node] + self._spaces(marks - 1)
-        else:
-            known = self.count[self.walk(chunk)]
-        if len(chunk) > LONG:  # what it leaves is of no use to others
-            for column in (self.last, self.total, self.count, self.first):
-                del column[nodes:]
-            while len(self.child) >= nodes:
-                self.child.popitem()
-        return known
+            return self._spaces(marks)
+        if self.merged and marks > 1:
+            _, _, count, first = self.walk(MARK + word)
+            alone = first == MARK  # then the last mark is one of the run
+            return count - 1 + self._spaces(marks) if alone else count + self._spaces(marks - 1)
+        return self.walk(chunk)[2]
 
     def tokens(self, text: str) -> int:
         """Pieces of a whole text."""

@@ -692,6 +692,11 @@ def test_token_counts_equal_library(pieces):
         assert real.tokens(text) == len(pieces.encode(text))
     for n in range(100):
         assert real.tokens(" " * n + "a") == len(pieces.encode(" " * n + "a"))
+    solid = [p.strip() for p in parts if p.strip() and "\n" not in p and p != "▁"]
+    for _ in range(200):  # words beyond the length that leaves nodes behind
+        word, nodes = "".join(rng.choices(solid, k=rng.randint(40, 400))), len(real.nodes)
+        assert real.tokens(word) == len(pieces.encode(word))
+        assert len(real.nodes) == nodes or len(word) < token_counts.LONG
 
 
 @needs_data
