@@ -40,7 +40,7 @@ def nested(kind: DataType) -> bool:
 
 def to_cell(value: Column, kind: DataType) -> Column:
     """A nested value as JSON; others as they are."""
-    return F.to_json(value) if nested(kind) else value
+    return F.to_json(value, {"ignoreNullFields": "false"}) if nested(kind) else value
 
 
 def from_cell(value: Column, kind: DataType) -> Column:
@@ -59,7 +59,8 @@ def scalar_or_list(values: Column) -> Column:
 
 
 def merged(maps: Column) -> Column:
-    """Maps of an array as one; of equal keys the last value counts."""
+    """Maps of an array as one; of equal keys the last value counts. Missing maps are passed over."""
+    maps = F.filter(maps, lambda m: m.isNotNull())
     keys = F.array_distinct(F.flatten(F.transform(maps, F.map_keys)))
     last = lambda k: F.element_at(F.filter(maps, lambda m: F.map_contains_key(m, k)), -1)
     return F.map_from_arrays(keys, F.transform(keys, lambda k: F.element_at(last(k), k)))

@@ -435,6 +435,21 @@ def tag_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("event_id", "event_type", F.col("tags")["k"].cast("long").alias("k"))
 
 
+@query("tag_extract", "select event_id as id, props->>'k' as k, event_type as kind, props->>'k' as dotted, null::varchar as none from events")
+def tag_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = table(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("kind"), F.from_json("props", "map<string,string>").alias("tags"))
+    paths_in = {"k": "k", "kind": "kind", "dotted": "tags.k", "none": "tags.none"}
+    return said.select(F.col("event_id").alias("id"), *(cells.extract(said.schema, p).alias(n) for n, p in paths_in.items()))
+
+
+@query("merge_maps", "select l_orderkey as id, l_returnflag as flag, max(l_linenumber)::varchar as last from lineitem group by all")
+def merge_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    one = F.struct("l_linenumber", F.col("l_returnflag").alias("flag"))
+    said = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.sort_array(F.collect_list(one)).alias("said"))
+    maps = F.transform("said", lambda s: F.create_map(s["flag"], s["l_linenumber"].cast("string")))
+    return said.select("id", F.explode(cells.merged(maps)).alias("flag", "last"))
+
+
 # --- builders and files ------------------------------------------------------------------------
 
 
