@@ -5,7 +5,7 @@ distance is one fixpoint whatever the order of relaxations, and both kernels agr
 for bit:
 
 * the array kernel sends the arcs, up to `KERNEL_ARCS` of them, to every executor once and
-  relaxes whole frontiers of many sources at a time in numpy, as `mapInPandas` over the
+  relaxes frontiers of many sources at a time in numpy, nearer nodes first, as `mapInPandas` over the
   sources;
 * the join kernel relaxes a frontier table against the arcs, for graphs of any size.
 
@@ -26,10 +26,16 @@ from .arcs import arcs as arcs_of
 from .order import checkpoint, dense_positions
 from .validation import preview
 
-#: Arcs, and nodes, that may be broadcast: 8 bytes an arc and 16 a node, so 120 MB an executor at most.
+#: Arcs, and nodes, that may be broadcast: 8 bytes an arc and 16 a node, so 120 MB an executor at most; they reach the driver as Arrow, 20 bytes an arc.
 KERNEL_ARCS = 5_000_000
 #: Distances that a task holds at once.
-CELLS = 8_000_000
+CELLS = 4_000_000
+#: Rows of a result that a task gives back at once.
+OUT_ROWS = 500_000
+#: Labels of objects that a join of their pairs may broadcast: some MB.
+LABELS = 200_000
+#: A cell that no search has reached.
+NEVER = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
 def check_cutoff(cutoff: float | None) -> np.float32:
@@ -40,49 +46,91 @@ def check_cutoff(cutoff: float | None) -> np.float32:
     return np.float32(cutoff)
 
 
-def relax(indptr: np.ndarray, heads: np.ndarray, weights: np.ndarray, rows: np.ndarray, seeds: np.ndarray, n_rows: int, cutoff: np.float32, owners: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+def distances(cell: np.ndarray) -> np.ndarray:
+    return (cell >> np.uint64(32)).astype(np.uint32).view(np.float32)
+
+
+def stride(weights: np.ndarray) -> np.float32:
+    """Distance that a search goes before it looks behind: the mean weight. Results do not depend on it."""
+    known = weights[np.isfinite(weights)]
+    return np.float32(known.mean(dtype=np.float64)) if len(known) else np.float32(0)
+
+
+def _once(cells: np.ndarray, mark: np.ndarray) -> np.ndarray:
+    """Each of the cells once."""
+    turn = np.arange(len(cells), dtype=np.int32)
+    mark[cells] = turn
+    return cells[mark[cells] == turn]
+
+
+class Space:
+    """Cells of several searches, used again by the next ones: what a search touched is cleared after it."""
+
+    def __init__(self, size: int):
+        self.cell, self.mark = np.full(size, NEVER), np.empty(size, np.int32)
+
+
+def relax(indptr: np.ndarray, heads: np.ndarray, weights: np.ndarray, rows: np.ndarray, seeds: np.ndarray, n_rows: int, cutoff: np.float32, owners: np.ndarray | None = None, space: Space | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Distances of n_rows searches from seeds (row, position), and the winning owner.
 
     A cell holds the bits of its distance above its owner's number, so the least cell is
     the least distance and, of equal ones, the least owner.
     """
     n = len(indptr) - 1
-    never = np.uint64(0xFFFFFFFFFFFFFFFF)
-    cell = np.full(n_rows * n, never)
+    space = space or Space(n_rows * n)
+    cell, mark = space.cell, space.mark
     front = rows.astype(np.int64) * n + seeds
     start = np.zeros(len(front), np.uint64) if owners is None else owners.astype(np.uint64)
     np.minimum.at(cell, front, start)
     front = np.unique(front)
-    degree = np.diff(indptr)
+    degree, touched, many = np.diff(indptr), [front], n_rows * n // 8
+    # What lies beyond the bound waits, or else every path of more arcs that is a little shorter would go all the way again
+    width, bound, later = stride(weights), np.float32(0), []
     while len(front):
         at = front % n
         fan = degree[at]
-        if not fan.sum():
-            break
         source = np.repeat(np.arange(len(front)), fan)
-        arc = np.arange(fan.sum()) - np.repeat(np.cumsum(fan) - fan, fan) + np.repeat(indptr[at], fan)
+        arc = np.arange(len(source)) + np.repeat(indptr[at] - np.cumsum(fan) + fan, fan)
         state = cell[front][source]
-        total = (state >> np.uint64(32)).astype(np.uint32).view(np.float32) + weights[arc]
-        reach = total <= cutoff
-        target = (front[source] - at[source] + heads[arc])[reach]
-        value = total[reach].view(np.uint32).astype(np.uint64) << np.uint64(32) | state[reach] & np.uint64(0xFFFFFFFF)
-        better = value < cell[target]
+        dist = distances(state) + weights[arc]
+        target = (front - at)[source] + heads[arc]
+        value = dist.view(np.uint32).astype(np.uint64) << np.uint64(32) | state & np.uint64(0xFFFFFFFF)
+        better = (value < cell[target]) & (dist <= cutoff)
         target, value = target[better], value[better]
         np.minimum.at(cell, target, value)
-        front = np.unique(target)
-    seen = np.flatnonzero(cell != never)
-    return seen, cell[seen]
+        target = _once(target, mark)
+        if touched is not None:
+            touched.append(target)
+            many -= len(target)
+            touched = touched if many > 0 else None
+        near = distances(cell[target]) <= bound
+        front = target[near]
+        later.append(target[~near])
+        if not len(front):
+            wait = _once(np.concatenate(later), mark)
+            dist = distances(cell[wait])
+            wait, dist = wait[dist > bound], dist[dist > bound]  # the others have come nearer since
+            if len(wait):
+                bound = dist.min() + width
+                front, later = wait[dist <= bound], [wait[dist > bound]]
+    seen = np.flatnonzero(cell[: n_rows * n] != NEVER) if touched is None else np.unique(np.concatenate(touched))
+    found = cell[seen]
+    if touched is None:
+        cell.fill(NEVER)
+    else:
+        cell[seen] = NEVER
+    return seen, found
 
 
 class Csr:
     """Arcs as arrays, by places in the ascending ids."""
 
-    def __init__(self, arcs: pd.DataFrame, ids: np.ndarray):
+    def __init__(self, src: np.ndarray, dst: np.ndarray, w: np.ndarray, ids: np.ndarray):
         self.ids = np.sort(ids)
-        src, dst = self.place(arcs["src"].to_numpy()), self.place(arcs["dst"].to_numpy())
+        src, dst = self.place(src).astype(np.int32), self.place(dst).astype(np.int32)
         order = np.argsort(src, kind="stable")
-        self.heads, self.weights = dst[order].astype(np.int32), arcs["w"].to_numpy(np.float32)[order]
-        self.indptr = np.searchsorted(src[order], np.arange(len(ids) + 1)).astype(np.int64)
+        self.heads, self.weights = dst[order], w.astype(np.float32, copy=False)[order]
+        self.indptr = np.concatenate([[0], np.cumsum(np.bincount(src, minlength=len(ids)))]).astype(np.int64)
 
     def place(self, ids: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.ids, ids)
@@ -99,11 +147,16 @@ def _arcs(graph: CityGraph, weight: str | None, reverse: bool) -> DataFrame:
 
 
 def _small(arcs: DataFrame, nodes: DataFrame, limit: int) -> bool:
-    return arcs.limit(limit + 1).count() <= limit and nodes.limit(limit + 1).count() <= limit
+    return arcs.count() <= limit and nodes.count() <= limit
+
+
+def _arrays(df: DataFrame) -> list[np.ndarray]:
+    """The columns of a frame of numbers; they reach the driver as Arrow, since a row of Python objects takes hundreds of bytes."""
+    return [c.to_numpy() for c in df.toArrow().columns]
 
 
 def _collected(graph: CityGraph, arcs: DataFrame) -> Csr:
-    return Csr(arcs.toPandas(), graph.nodes.select("node_id").toPandas()["node_id"].to_numpy(np.int64))
+    return Csr(*_arrays(arcs.select("src", "dst", "w")), *_arrays(graph.nodes.select(F.col("node_id").cast("long"))))
 
 
 def _require(graph: CityGraph, sources: DataFrame, column: str = "source") -> None:
@@ -112,29 +165,45 @@ def _require(graph: CityGraph, sources: DataFrame, column: str = "source") -> No
         raise ValueError(f"not nodes of the graph: {preview(missing)}")
 
 
-def per_source(graph: CityGraph, sources: DataFrame, weight: str | None = None, cutoff: float | None = None, reverse: bool = False, max_workers: int | None = None, kernel_arcs: int = KERNEL_ARCS) -> DataFrame:
-    """(source, node, dist float) of independent searches; a source given twice is searched once."""
+def per_source(graph: CityGraph, sources: DataFrame, weight: str | None = None, cutoff: float | None = None, reverse: bool = False, max_workers: int | None = None, kernel_arcs: int = KERNEL_ARCS, targets: DataFrame | None = None) -> DataFrame:
+    """(source, node, dist float) of independent searches; a source given twice is searched once.
+
+    Of `targets` (node), only the rows of these nodes are returned.
+    """
     limit = check_cutoff(cutoff)
     if max_workers is not None and max_workers < 1:
         raise ValueError(f"max_workers must be at least 1: {max_workers}")
     seeds = sources.select(F.col("source").cast("long").alias("source")).distinct()
     _require(graph, seeds)
     arcs = _arcs(graph, weight, reverse)
+    wanted = targets.select(F.col("node").cast("long").alias("node")).distinct() if targets is not None else None
     if not _small(arcs, graph.nodes, kernel_arcs):
         start = seeds.select("source", F.col("source").alias("node"), F.lit(0.0).cast("float").alias("dist"), F.lit(0).cast("long").alias("owner"))
-        return _by_joins(arcs, start, limit).select("source", "node", "dist")
-    sent = graph.spark.sparkContext.broadcast(_collected(graph, arcs))
+        found = _by_joins(arcs, start, limit).select("source", "node", "dist")
+        return found if wanted is None else found.join(wanted, "node", "left_semi").select("source", "node", "dist")
+    csr = _collected(graph, arcs)
+    asked = None
+    if wanted is not None:
+        asked = np.isin(csr.ids, _arrays(wanted)[0])
+    sent = graph.spark.sparkContext.broadcast((csr, asked))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        csr = sent.value
+        csr, asked = sent.value
         n = max(len(csr.ids), 1)
         step = max(1, CELLS // n)
+        space = None
         for batch in batches:
             some = batch["source"].to_numpy()
             for k in range(0, len(some), step):
                 part = some[k : k + step]
-                seen, cell = relax(csr.indptr, csr.heads, csr.weights, np.arange(len(part)), csr.place(part), len(part), limit)
-                yield pd.DataFrame({"source": part[seen // n], "node": csr.ids[seen % n], "dist": (cell >> np.uint64(32)).astype(np.uint32).view(np.float32)})
+                space = space or Space(step * n)
+                seen, cell = relax(csr.indptr, csr.heads, csr.weights, np.arange(len(part)), csr.place(part), len(part), limit, space=space)
+                if asked is not None:
+                    kept = asked[seen % n]
+                    seen, cell = seen[kept], cell[kept]
+                for i in range(0, len(seen), OUT_ROWS):
+                    at = seen[i : i + OUT_ROWS]
+                    yield pd.DataFrame({"source": part[at // n], "node": csr.ids[at % n], "dist": distances(cell[i : i + OUT_ROWS])})
 
     dealt = seeds.repartition(max_workers, "source") if max_workers else seeds.repartition("source")
     return dealt.mapInPandas(run, "source long, node long, dist float")
@@ -145,14 +214,16 @@ def _from_many(graph: CityGraph, seeds: DataFrame, arcs: DataFrame, limit: np.fl
     if not _small(arcs, graph.nodes, kernel_arcs):
         start = seeds.select(F.lit(0).cast("long").alias("source"), "node", F.lit(0.0).cast("float").alias("dist"), "owner")
         return _by_joins(arcs, start, limit).select("node", "dist", "owner")
-    known = seeds.select("node", "owner").toPandas()  # at most all nodes, which are no more than the limit
-    sent = graph.spark.sparkContext.broadcast((_collected(graph, arcs), known["node"].to_numpy(np.int64), known["owner"].to_numpy(np.int64)))
+    # the seeds are at most all nodes, which are no more than the limit
+    sent = graph.spark.sparkContext.broadcast((_collected(graph, arcs), *_arrays(seeds.select("node", "owner"))))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for _ in batches:
             csr, nodes, owners = sent.value
             seen, cell = relax(csr.indptr, csr.heads, csr.weights, np.zeros(len(nodes), np.int64), csr.place(nodes), 1, limit, owners)
-            yield pd.DataFrame({"node": csr.ids[seen], "dist": (cell >> np.uint64(32)).astype(np.uint32).view(np.float32), "owner": (cell & np.uint64(0xFFFFFFFF)).astype(np.int64)})
+            for i in range(0, len(seen), OUT_ROWS):
+                part = cell[i : i + OUT_ROWS]
+                yield pd.DataFrame({"node": csr.ids[seen[i : i + OUT_ROWS]], "dist": distances(part), "owner": (part & np.uint64(0xFFFFFFFF)).astype(np.int64)})
 
     return graph.spark.range(1).mapInPandas(run, "node long, dist float, owner long")
 
@@ -208,9 +279,10 @@ def od_matrix(graph: CityGraph, origins: DataFrame, destinations: DataFrame, wei
             raise ValueError(f"no {name}s")
         _require(graph, side, name)
     counts = {name: side.select(name).distinct().count() for name, side in sides.items()}
+    sides = {name: F.broadcast(side) if side.count() <= LABELS else side for name, side in sides.items()}
     turned = counts["dest"] < counts["origin"]
     start, stop = ("dest", "origin") if turned else ("origin", "dest")
-    found = per_source(graph, sides[start].select(F.col(start).alias("source")), weight, threshold, turned, max_workers, kernel_arcs)
+    found = per_source(graph, sides[start].select(F.col(start).alias("source")), weight, threshold, turned, max_workers, kernel_arcs, sides[stop].select(F.col(stop).alias("node")))
     found = found.select(F.col("source").alias(start), F.col("node").alias(stop), "dist")
     return found.join(sides[stop], stop).join(sides[start], start).select("origin_id", "dest_id", "dist")
 

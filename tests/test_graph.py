@@ -102,6 +102,54 @@ def test_kernel_matches_plain_dijkstra():
     assert got == best
 
 
+
+def test_arcs_reach_the_driver_as_arrow(spark, monkeypatch):
+    def rows(self):
+        raise AssertionError("rows of Python objects in the driver")
+
+    g = micro.line(spark)
+    monkeypatch.setattr(type(g.nodes), "toPandas", rows)
+    found = [paths.single_source(g, 0), paths.nearest_source(g, ids(spark, 0, 3)).select("node", "dist")]
+    monkeypatch.undo()
+    assert [as_set(x, "node", "dist") for x in found] == [{(0, 0), (1, 1), (2, 3), (3, 7)}, {(0, 0), (1, 1), (2, 3), (3, 0)}]
+
+
+def test_searches_read_arcs_a_few_times():
+    class Read(np.ndarray):
+        total = 0
+
+        def __getitem__(self, at):
+            Read.total += np.size(at)
+            return np.asarray(super().__getitem__(at))
+
+    n = 2000  # steps of one are nearer and have more arcs than steps of two
+    src = np.repeat(np.arange(n), 2)
+    dst = src + np.tile([1, 2], n)
+    inside = dst < n
+    src, dst, w = src[inside], dst[inside], np.tile(np.float32([1, 3]), n)[inside]
+    indptr = np.concatenate([[0], np.cumsum(np.bincount(src, minlength=n))])
+    seen, cell = paths.relax(indptr, dst.astype(np.int32), w.view(Read), np.zeros(1, int), np.zeros(1, int), 1, np.float32(np.inf))
+    assert ((cell >> np.uint64(32)).astype(np.uint32).view(np.float32) == seen).all() and len(seen) == n
+    assert Read.total < 10 * len(w)  # 1,000 times before
+
+
+def test_searches_share_their_cells():
+    indptr, heads, w = np.array([0, 1, 2, 3, 3]), np.array([1, 2, 3], np.int32), np.float32([1, np.inf, 1])
+    space = paths.Space(8)
+    for cutoff, many in ((1, 2), (np.inf, 1), (0, 2), (np.inf, 2)):
+        alone = paths.relax(indptr, heads, w, np.arange(many), np.arange(many), many, np.float32(cutoff))
+        shared = paths.relax(indptr, heads, w, np.arange(many), np.arange(many), many, np.float32(cutoff), space=space)
+        assert all((a == b).all() for a, b in zip(alone, shared, strict=True))
+        assert (space.cell == paths.NEVER).all()
+
+
+def test_kernel_returns_asked_nodes(spark):
+    g = micro.line(spark)
+    for limit in (paths.KERNEL_ARCS, 0):
+        got = paths.per_source(g, ids(spark, 0, 3), kernel_arcs=limit, targets=ids(spark, 1, 2, 2, 99, name="node"))
+        assert as_set(got, "source", "node", "dist") == {(0, 1, 1), (0, 2, 3), (3, 1, 6), (3, 2, 4)}
+
+
 def test_components(spark):
     apart = components.connected_components(micro.disconnected(spark))
     assert as_set(apart, "node_id", "component_id") == {(0, 0), (1, 0), (2, 0), (10, 10), (11, 10)}
