@@ -30,6 +30,8 @@ from .validation import preview
 KERNEL_ARCS = 5_000_000
 #: Distances that a task holds at once.
 CELLS = 4_000_000
+#: Tasks of searches from many sources, a core.
+TASKS = 8
 #: Rows of a result that a task gives back at once.
 OUT_ROWS = 500_000
 #: Labels of objects that a join of their pairs may broadcast: some MB.
@@ -205,7 +207,8 @@ def per_source(graph: CityGraph, sources: DataFrame, weight: str | None = None,
                     at = seen[i : i + OUT_ROWS]
                     yield pd.DataFrame({"source": part[at // n], "node": csr.ids[at % n], "dist": distances(cell[i : i + OUT_ROWS])})
 
-    dealt = seeds.repartition(max_workers, "source") if max_workers else seeds.repartition("source")
+    # a number, as sources are small and adaptive plans would search from all of them in one task
+    dealt = seeds.repartition(max_workers or TASKS * graph.spark.sparkContext.defaultParallelism, "source")
     return dealt.mapInPandas(run, "source long, node long, dist float")
 
 
@@ -279,12 +282,13 @@ def od_matrix(graph: CityGraph, origins: DataFrame, destinations: DataFrame, wei
             raise ValueError(f"no {name}s")
         _require(graph, side, name)
     counts = {name: side.select(name).distinct().count() for name, side in sides.items()}
-    sides = {name: F.broadcast(side) if side.count() <= LABELS else side for name, side in sides.items()}
     turned = counts["dest"] < counts["origin"]
     start, stop = ("dest", "origin") if turned else ("origin", "dest")
     found = per_source(graph, sides[start].select(F.col(start).alias("source")), weight, threshold, turned, max_workers, kernel_arcs, sides[stop].select(F.col(stop).alias("node")))
     found = found.select(F.col("source").alias(start), F.col("node").alias(stop), "dist")
-    return found.join(sides[stop], stop).join(sides[start], start).select("origin_id", "dest_id", "dist")
+    # only here, as the hint would go along with the sources to the pairs
+    light = {name: F.broadcast(side) if side.count() <= LABELS else side for name, side in sides.items()}
+    return found.join(light[stop], stop).join(light[start], start).select("origin_id", "dest_id", "dist")
 
 
 def dense(matrix: DataFrame) -> DataFrame:

@@ -150,6 +150,12 @@ def test_kernel_returns_asked_nodes(spark):
         assert as_set(got, "source", "node", "dist") == {(0, 1, 1), (0, 2, 3), (3, 1, 6), (3, 2, 4)}
 
 
+def test_sources_are_searched_in_many_tasks(spark):
+    g = micro.line(spark)
+    assert paths.per_source(g, ids(spark, 0, 1, 2, 3)).rdd.getNumPartitions() > 1
+    assert paths.per_source(g, ids(spark, 0, 1, 2, 3), max_workers=1).rdd.getNumPartitions() == 1
+
+
 def test_components(spark):
     apart = components.connected_components(micro.disconnected(spark))
     assert as_set(apart, "node_id", "component_id") == {(0, 0), (1, 0), (2, 0), (10, 10), (11, 10)}
