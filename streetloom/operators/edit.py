@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geom import in_polygon
 from ..model import CityGraph, GraphChanges
-from .order import dense_positions
+from .order import dense_positions, grown
 from .validation import preview, validate_changes
 
 
@@ -20,18 +20,18 @@ def edge_keys(edges: DataFrame) -> DataFrame:
 
 def _inside(edges: DataFrame, ids: DataFrame) -> DataFrame:
     columns = edges.columns
-    return edges.join(ids.withColumnRenamed("node_id", "u"), "u", "left_semi").join(ids.withColumnRenamed("node_id", "v"), "v", "left_semi").select(*columns)
+    return edges.join(grown(ids.withColumnRenamed("node_id", "u")), "u", "left_semi").join(grown(ids.withColumnRenamed("node_id", "v")), "v", "left_semi").select(*columns)
 
 
 def subgraph(graph: CityGraph, node_ids: DataFrame, check: bool = True) -> CityGraph:
     """The given nodes and the edges between them; ids stay."""
     ids = node_ids.select("node_id").distinct()
     if check:
-        unknown = ids.join(graph.nodes, "node_id", "left_anti")
+        unknown = ids.join(grown(graph.nodes), "node_id", "left_anti")
         if not unknown.isEmpty():
             raise ValueError(f"not nodes of the graph: {preview(unknown)}")
     columns = graph.nodes.columns
-    return graph.with_(nodes=graph.nodes.join(ids, "node_id", "left_semi").select(*columns), edges=_inside(graph.edges, ids))
+    return graph.with_(nodes=graph.nodes.join(grown(ids), "node_id", "left_semi").select(*columns), edges=_inside(graph.edges, ids))
 
 
 def clip(graph: CityGraph, polygon: list[list[tuple[float, float]]]) -> CityGraph:
@@ -108,12 +108,12 @@ def apply_changes(graph: CityGraph, changes: GraphChanges, check: bool = True) -
     key = graph.meta.key
     if check:
         validate_changes(changes)
-        absent = changes.delete.select(*key).join(graph.edges.select(*key), key, "left_anti")
+        absent = changes.delete.select(*key).join(grown(graph.edges.select(*key)), key, "left_anti")
         if not absent.isEmpty():
             raise ValueError(f"no such edges to delete: {preview(absent)}")
-        taken = changes.nodes.select("node_id").join(graph.nodes.select("node_id"), "node_id", "left_semi")
+        taken = changes.nodes.select("node_id").join(grown(graph.nodes.select("node_id")), "node_id", "left_semi")
         if not taken.isEmpty():
             raise ValueError(f"node ids exist: {preview(taken)}")
     columns = graph.edges.columns
-    kept = graph.edges.join(changes.delete.select(*key), key, "left_anti").select(*columns)
+    kept = graph.edges.join(grown(changes.delete.select(*key)), key, "left_anti").select(*columns)
     return graph.with_(nodes=graph.nodes.unionByName(changes.nodes, allowMissingColumns=True), edges=kept.unionByName(changes.edges, allowMissingColumns=True))

@@ -29,6 +29,15 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def grown(df: DataFrame) -> DataFrame:
+    """The frame as a side of a join that grows with the tables: joins sort both sides.
+
+    Spark broadcasts what is small as it is shuffled, compressed, and has to build it in the driver as a hash
+    table many times as large; with its default of 10 MB that takes more than the driver has.
+    """
+    return df.hint("merge")
+
+
 def dense_positions(df: DataFrame, order: list[Column], name: str = "pos", blocks: int | None = None) -> DataFrame:
     """Add 0, 1, 2, … in the given order.
 
@@ -43,4 +52,4 @@ def dense_positions(df: DataFrame, order: list[Column], name: str = "pos", block
     sizes = cut.groupBy("_block").agg(F.count(F.lit(1)).alias("_size"))
     shifts = sizes.withColumn("_shift", F.coalesce(F.sum("_size").over(Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_size")
     nth = F.row_number().over(Window.partitionBy("_block").orderBy(*order)) - 1
-    return cut.join(shifts, "_block").withColumn(name, (F.col("_shift") + nth).cast("long")).drop("_block", "_shift")
+    return cut.join(F.broadcast(shifts), "_block").withColumn(name, (F.col("_shift") + nth).cast("long")).drop("_block", "_shift")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geom
 from ..model import CityGraph, GraphChanges
-from .order import checkpoint, dense_positions
+from .order import checkpoint, dense_positions, grown
 from .spatial import nearest_edges
 from .validation import preview
 
@@ -70,8 +70,8 @@ def project_objects(graph: CityGraph, objects: DataFrame, speed_m_per_min: float
     if not twice.isEmpty():
         raise ValueError(f"object ids are repeated: {preview(twice)}")
     edges = graph.edges.withColumn("_len", geom.length(F.col("geometry")))
-    hits = nearest_edges(graph, objects, max_dist).join(objects.select("object_id", "x", "y"), "object_id")
-    hits = hits.join(edges.select("edge_id", "u", "v", "geometry", "_len"), "edge_id")
+    hits = nearest_edges(graph, objects, max_dist).join(grown(objects.select("object_id", "x", "y")), "object_id")
+    hits = hits.join(grown(edges.select("edge_id", "u", "v", "geometry", "_len")), "edge_id")
     tolerance = F.greatest(F.lit(1e-6), F.lit(1e-5) * F.col("_len"))
     hits = checkpoint(hits.withColumn("snap", F.when(F.abs(F.col("along") - F.col("_len")) <= tolerance, F.col("v")).when(F.abs("along") <= tolerance, F.col("u"))))
     each = hits.groupBy("object_id").agg(F.count("snap").alias("at_end"), F.count(F.lit(1)).alias("all"), F.countDistinct("snap").alias("ends"), F.min("snap").alias("node"))
@@ -96,14 +96,14 @@ def project_objects(graph: CityGraph, objects: DataFrame, speed_m_per_min: float
     groups = checkpoint(groups.select("edge_id", "gx", "gy", "nth", (F.col("nth") + next_id + n_snapped).alias("node"), F.col("f.along").alias("along"), F.col("f.p").alias("p")))
     n_groups = groups.count()
     # the first group of each object holds it
-    member = inner.select("object_id", "edge_id", "gx", "gy", "x", "y").join(groups, ["edge_id", "gx", "gy"])
+    member = inner.select("object_id", "edge_id", "gx", "gy", "x", "y").join(grown(groups), ["edge_id", "gx", "gy"])
     held = member.groupBy("object_id").agg(F.min(F.struct("nth", "node")).alias("m"), F.first("x").alias("x"), F.first("y").alias("y")).select("object_id", F.col("m.nth").alias("nth"), F.col("m.node").alias("target"), "x", "y")
 
     project_nodes = groups.select(F.col("node").alias("node_id"), F.col("p.x").alias("x"), F.col("p.y").alias("y"))
     if add_link_edge:
-        ends = snapped.join(objects.select("object_id", "x", "y"), "object_id").join(graph.nodes.select(F.col("node_id").alias("target"), F.col("x").alias("tx"), F.col("y").alias("ty")), "target")
+        ends = snapped.join(grown(objects.select("object_id", "x", "y")), "object_id").join(grown(graph.nodes.select(F.col("node_id").alias("target"), F.col("x").alias("tx"), F.col("y").alias("ty"))), "target")
         first_block = dense_positions(ends, [F.col("object_id")], "n").withColumn("node_id", F.col("n") + next_id)
-        others = held.join(project_nodes.select(F.col("node_id").alias("target"), F.col("x").alias("tx"), F.col("y").alias("ty")), "target")
+        others = held.join(grown(project_nodes.select(F.col("node_id").alias("target"), F.col("x").alias("tx"), F.col("y").alias("ty"))), "target")
         second_block = dense_positions(others, [F.col("nth"), F.col("object_id")], "n").withColumn("node_id", F.col("n") + next_id + n_snapped + n_groups)
         linked = checkpoint(first_block.select("object_id", "node_id", "target", "x", "y", "tx", "ty").unionByName(second_block.select("object_id", "node_id", "target", "x", "y", "tx", "ty")))
         mapping = linked.select("object_id", "node_id")
@@ -119,7 +119,7 @@ def project_objects(graph: CityGraph, objects: DataFrame, speed_m_per_min: float
         new_nodes, links = project_nodes, None
 
     cuts = groups.groupBy("edge_id").agg(F.collect_list(F.struct("along", "node")).alias("cuts"))
-    touched = edges.join(cuts, "edge_id").select("edge_id", "u", "v", "geometry", "cuts")
+    touched = edges.join(grown(cuts), "edge_id").select("edge_id", "u", "v", "geometry", "cuts")
 
     def split(batches):
         import pandas as pd
@@ -134,11 +134,11 @@ def project_objects(graph: CityGraph, objects: DataFrame, speed_m_per_min: float
     pieces = touched.mapInPandas(split, "source_edge long, nth int, u long, v long, geometry array<struct<x:double,y:double>>, length_meter double, time_min double")
     rest = [c for c in graph.edges.columns if c not in ("edge_id", "u", "v", "geometry", "length_meter", "time_min")]
     attrs = graph.edges.select(F.col("edge_id").alias("source_edge"), *rest)
-    new_edges = pieces.join(attrs, "source_edge")
+    new_edges = pieces.join(grown(attrs), "source_edge")
     if links is not None:
         extra = {"source_edge": F.lit(1 << 62), "nth": F.lit(0)} | ({"k": F.lit(0)} if meta.is_multigraph else {}) | ({meta.direction_col: F.lit(False)} if meta.direction_col else {})
         new_edges = new_edges.unionByName(links.withColumns(extra), allowMissingColumns=True)
     new_edges = dense_positions(new_edges, [F.col("source_edge"), F.col("nth"), F.col("u"), F.col("v")], "edge_id").withColumn("edge_id", F.col("edge_id") + next_edge)
-    delete = edges.join(cuts.select("edge_id"), "edge_id", "left_semi").select(*meta.key)
+    delete = edges.join(grown(cuts.select("edge_id")), "edge_id", "left_semi").select(*meta.key)
     added = new_nodes.withColumn("pos", F.col("node_id") - next_id + next_pos)
     return GraphChanges(checkpoint(added.select("node_id", "pos", "x", "y")), checkpoint(new_edges.select(*graph.edges.columns)), delete, meta), checkpoint(mapping)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geom
 from ..model import CityGraph
-from .order import checkpoint
+from .order import checkpoint, grown
 
 
 def _cell(x: Column, size: float) -> Column:
@@ -43,9 +43,9 @@ def nearest_nodes(graph: CityGraph, objects: DataFrame) -> DataFrame:
     while True:
         placed = nodes.withColumns({"cx": _cell(F.col("nx"), size), "cy": _cell(F.col("ny"), size)})
         square = (F.col("x") - F.col("nx")) * (F.col("x") - F.col("nx")) + (F.col("y") - F.col("ny")) * (F.col("y") - F.col("ny"))
-        best = _ring(left, size, 1).join(placed, ["cx", "cy"]).groupBy("object_id").agg(F.min(F.struct(square.alias("d2"), "pos", "node_id")).alias("b"))
+        best = _ring(left, size, 1).join(grown(placed), ["cx", "cy"]).groupBy("object_id").agg(F.min(F.struct(square.alias("d2"), "pos", "node_id")).alias("b"))
         last = size >= span
-        found = checkpoint(left.join(best, "object_id", "left").withColumn("sure", F.col("b").isNotNull() & (F.lit(last) | (F.sqrt("b.d2") <= F.lit(size)))))
+        found = checkpoint(left.join(grown(best), "object_id", "left").withColumn("sure", F.col("b").isNotNull() & (F.lit(last) | (F.sqrt("b.d2") <= F.lit(size)))))
         hit = found.filter("sure").select("object_id", F.col("b.node_id").alias("node_id"), F.sqrt("b.d2").alias("distance"))
         done = hit if done is None else done.unionByName(hit)
         left = found.filter("not sure").select("object_id", "x", "y")
@@ -77,7 +77,7 @@ def nearest_edges(graph: CityGraph, objects: DataFrame, max_dist: float | None =
     while True:
         cells = {k: F.sequence(_cell(F.least(f"a.{c}", f"b.{c}"), size), _cell(F.greatest(f"a.{c}", f"b.{c}"), size)) for k, c in (("cx", "x"), ("cy", "y"))}
         placed = pieces.withColumn("cx", F.explode(cells["cx"])).withColumn("cy", F.explode(cells["cy"]))
-        near = _ring(left, size, 1).join(placed, ["cx", "cy"]).select("object_id", "x", "y", "edge_id", "nth", "before", "a", "b").distinct()
+        near = _ring(left, size, 1).join(grown(placed), ["cx", "cy"]).select("object_id", "x", "y", "edge_id", "nth", "before", "a", "b").distinct()
         share = geom.segment_share(F.col("x"), F.col("y"), F.col("a"), F.col("b"))
         measured = near.select("object_id", "edge_id", "nth", geom.segment_distance(F.col("x"), F.col("y"), F.col("a"), F.col("b")).alias("distance"), (F.col("before") + share * geom.distance(F.col("a"), F.col("b"))).alias("along"))
         each = measured.groupBy("object_id", "edge_id").agg(F.min(F.struct("distance", "nth", "along")).alias("m"))
@@ -86,7 +86,7 @@ def nearest_edges(graph: CityGraph, objects: DataFrame, max_dist: float | None =
         limit = size if not last else math.inf if max_dist is None else max_dist
         hit = checkpoint(ranked.filter(F.col("distance") <= F.lit(float(limit))))
         done = hit if done is None else done.unionByName(hit)
-        left = checkpoint(left.join(hit.select("object_id").distinct(), "object_id", "left_anti"))
+        left = checkpoint(left.join(grown(hit.select("object_id").distinct()), "object_id", "left_anti"))
         if last or left.isEmpty():
             return done
         size = min(size * 2, span)

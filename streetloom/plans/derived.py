@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geom
 from ..model import CityGraph, GraphMeta
-from ..operators.order import dense_positions
+from ..operators.order import dense_positions, grown
 
 #: Metres per minute of a grid street by market segment; all others 83.
 SPEEDS = {"AUTOMOBILE": 1000.0, "BUILDING": 667.0, "FURNITURE": 500.0, "MACHINERY": 333.0}
@@ -33,7 +33,7 @@ def _grid(spark: SparkSession, sf_dir: str, right, down) -> CityGraph:
     arms = F.array(F.when((i % WIDTH != WIDTH - 1) & right(i), F.struct((2 * i).alias("edge_id"), (i + 1).alias("v"), (i % 5 == 0).alias("oneway"))), F.when(down(i), F.struct((2 * i + 1).alias("edge_id"), (i + WIDTH).alias("v"), F.lit(False).alias("oneway"))))
     rows = customer.select(i.alias("u"), speed.alias("speed"), F.explode(F.filter(arms, lambda a: a.isNotNull())).alias("a")).select("a.edge_id", "u", "a.v", "speed", "a.oneway")
     # ends exist where ids are dense, and the join holds where they are not
-    rows = rows.join(nodes.select(F.col("node_id").alias("v")), "v", "left_semi")
+    rows = rows.join(grown(nodes.select(F.col("node_id").alias("v"))), "v", "left_semi")
     at = lambda c: geom.point(F.col(c) % WIDTH * 100.0, F.floor(F.col(c) / WIDTH) * 100.0)
     edges = rows.select("edge_id", "u", "v", F.array(at("u"), at("v")).alias("geometry"), F.lit(100.0).alias("length_meter"), geom.rounded(100.0 / F.col("speed"), 3).alias("time_min"), "oneway")
     return CityGraph(nodes, edges, GraphMeta(EPSG, "walk", False, True, "oneway"))

@@ -2,6 +2,7 @@
 
 import heapq
 import os
+import re
 from collections import defaultdict
 
 import numpy as np
@@ -72,3 +73,24 @@ def test_od_of_all_objects_against_brute_force(spark):
     assert {a for a, _ in want} == {a for a, _ in places}
     assert plain("od_matrix") == want
     assert plain("od_threshold") == {k: d for k, d in want.items() if d <= np.float32(1.5)}
+
+
+def broadcast_keys(spark, run):
+    """Keys of the hash joins that broadcast a side, of all plans that a run executes with Spark's own threshold."""
+    assert spark.conf.get("spark.sql.autoBroadcastJoinThreshold") == "10485760b"
+    bus, store = spark.sparkContext._jsc.sc().listenerBus(), spark._jsparkSession.sharedState().statusStore()
+    bus.waitUntilEmpty(30_000)
+    before = max((store.executionsList().apply(k).executionId() for k in range(store.executionsList().size())), default=-1)
+    run()
+    bus.waitUntilEmpty(30_000)
+    told = store.executionsList()
+    plans = [told.apply(k).physicalPlanDescription() for k in range(told.size()) if told.apply(k).executionId() > before]
+    assert any("SortMergeJoin" in p for p in plans)
+    return {key for p in plans for key in re.findall(r"BroadcastHashJoin.*?\nLeft keys \[\d+\]: \[(.*?)\]\n", p)}
+
+
+@needs_data
+def test_project_points_broadcasts_no_table(spark):
+    keys = broadcast_keys(spark, lambda: registry.QUERIES["project_points"](spark, DATA).count())
+    # sizes of blocks, one row a block
+    assert {re.sub(r"#\d+L?", "", k) for k in keys} <= {"_block"}
