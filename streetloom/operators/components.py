@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..model import CityGraph
 from .arcs import boolean_arcs
-from .order import checkpoint
+from .order import checkpoint, grown
 
 #: Arcs up to which strong components are found by one task instead of by joins: 16 bytes each.
 KERNEL_ARCS = 5_000_000
@@ -51,7 +51,7 @@ def _signature(edges: DataFrame) -> tuple:
 def _labelled(graph: CityGraph, roots: DataFrame) -> DataFrame:
     """(node_id, component_id): the smallest member names a component; nodes without links are their own."""
     ids = graph.nodes.select("node_id")
-    return ids.join(roots.withColumnRenamed("node", "node_id"), "node_id", "left").select("node_id", F.coalesce("root", "node_id").alias("component_id"))
+    return ids.join(grown(roots.withColumnRenamed("node", "node_id")), "node_id", "left").select("node_id", F.coalesce("root", "node_id").alias("component_id"))
 
 
 def weak_components(graph: CityGraph) -> DataFrame:

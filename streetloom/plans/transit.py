@@ -23,7 +23,7 @@ from ..functions.tags import infer_role, maxspeed_m_per_min
 from ..model import CityGraph, GraphMeta, empty
 from ..operators.components import keep_largest
 from ..operators.edit import apply_changes, edge_keys, to_directed
-from ..operators.order import checkpoint, dense_positions
+from ..operators.order import checkpoint, dense_positions, grown
 from ..operators.projection import project_objects
 from ..operators.validation import preview
 from ..sources.elements import member_tags
@@ -61,8 +61,8 @@ def resolve_ends(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     alone = nodes.groupBy("node_id").agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("at")).filter("n = 1")
     for end in ("u", "v"):
         same = by_route.select(F.col("node_id").alias("_i"), F.col("route").alias("_r"), F.col("at").alias("_a"))
-        edges = edges.join(same, (F.col(end) == F.col("_i")) & F.col("route").eqNullSafe(F.col("_r")), "left").drop("_i", "_r")
-        edges = edges.join(alone.select(F.col("node_id").alias("_i"), F.col("at").alias("_b")), F.col(end) == F.col("_i"), "left").drop("_i")
+        edges = edges.join(grown(same), (F.col(end) == F.col("_i")) & F.col("route").eqNullSafe(F.col("_r")), "left").drop("_i", "_r")
+        edges = edges.join(grown(alone.select(F.col("node_id").alias("_i"), F.col("at").alias("_b"))), F.col(end) == F.col("_i"), "left").drop("_i")
         edges = edges.withColumn(f"_{end}", F.coalesce("_a", "_b")).drop("_a", "_b")
     return edges
 
@@ -100,7 +100,7 @@ def assemble(pt_nodes: DataFrame, pt_edges: DataFrame, registry: TransportRegist
     graph_nodes, mapping = merge_platforms(nodes)
     edges = resolve_ends(pt_edges, nodes).drop("u", "v")
     for end in ("u", "v"):
-        edges = edges.join(mapping.select(F.col("source_pos").alias(f"_{end}"), F.col("node_id").alias(end)), f"_{end}").drop(f"_{end}")
+        edges = edges.join(grown(mapping.select(F.col("source_pos").alias(f"_{end}"), F.col("node_id").alias(end))), f"_{end}").drop(f"_{end}")
     for name, kind in (("length_meter", "double"), ("time_min", "double"), ("speed_m_min", "double"), ("oneway", "boolean")):
         edges = edges if name in edges.columns else edges.withColumn(name, F.lit(None).cast(kind))
     edges = checkpoint(split_boarding(edges, boarding_min))
@@ -377,6 +377,7 @@ def join_transit_walk(transit: CityGraph, walk: CityGraph, max_dist: float = 20,
     if walk.nodes.isEmpty():
         return transit
     streets = to_directed(walk)
+    streets = streets.with_(nodes=checkpoint(streets.nodes), edges=checkpoint(streets.edges))  # read many times
     platforms = transit.nodes.filter(F.col("type").isin(*PLATFORM_TYPES)) if "type" in transit.nodes.columns else transit.nodes.limit(0)
     mapping = platforms.sparkSession.createDataFrame([], "object_id long, node_id long")
     if not platforms.isEmpty():
@@ -385,20 +386,20 @@ def join_transit_walk(transit: CityGraph, walk: CityGraph, max_dist: float = 20,
         kind = F.coalesce("type", F.lit("walk")) if "type" in streets.edges.columns else F.lit("walk")
         streets = streets.with_(edges=streets.edges.withColumns({"type": kind, "oneway": F.coalesce(F.col("oneway").cast("boolean"), F.lit(False))}))
         attributes = [c for c in transit.nodes.columns if c not in ("node_id", "pos", "x", "y")]
-        named = transit.nodes.join(mapping.select(F.col("object_id").alias("node_id"), F.col("node_id").alias("target")), "node_id")
+        named = transit.nodes.join(grown(mapping.select(F.col("object_id").alias("node_id"), F.col("node_id").alias("target"))), "node_id")
         nodes = streets.nodes
         for c in attributes:
             lists = collapse(named, c).withColumnsRenamed({"target": "node_id", c: "_c"})
             value = F.col("_c") if dict(transit.nodes.dtypes)[c].startswith("array") else F.array_join(F.col("_c").cast("array<string>"), "|")
-            nodes = nodes.join(lists, "node_id", "left").withColumn(c, F.coalesce(value, F.col(c)) if c in nodes.columns else value).drop("_c")
+            nodes = nodes.join(grown(lists), "node_id", "left").withColumn(c, F.coalesce(value, F.col(c)) if c in nodes.columns else value).drop("_c")
         streets = streets.with_(nodes=checkpoint(nodes))
     start_id, start_pos = streets.nodes.agg(F.max("node_id") + 1, F.max("pos") + 1).first()
-    rest = transit.nodes.join(mapping.select(F.col("object_id").alias("node_id")), "node_id", "left_anti").withColumnRenamed("node_id", "_old").withColumnRenamed("pos", "_order")
+    rest = transit.nodes.join(grown(mapping.select(F.col("object_id").alias("node_id"))), "node_id", "left_anti").withColumnRenamed("node_id", "_old").withColumnRenamed("pos", "_order")
     rest = dense_positions(rest, [F.col("_order"), F.col("_old")], "_n").withColumns({"node_id": F.col("_n") + start_id, "pos": F.col("_n") + start_pos})
     ids = checkpoint(mapping.select(F.col("object_id").alias("_old"), "node_id").unionByName(rest.select("_old", "node_id")))
     rides = transit.edges
     for end in ("u", "v"):
-        rides = rides.join(ids.select(F.col("_old").alias(end), F.col("node_id").alias(f"_{end}")), end)
+        rides = rides.join(grown(ids.select(F.col("_old").alias(end), F.col("node_id").alias(f"_{end}"))), end)
     rides = rides.drop("u", "v").withColumnsRenamed({"_u": "u", "_v": "v"})
     first_edge = streets.edges.agg(F.coalesce(F.max("edge_id") + 1, F.lit(0))).first()[0]
     edges = streets.edges.unionByName(rides.withColumn("edge_id", F.col("edge_id") + F.lit(first_edge)), allowMissingColumns=True)

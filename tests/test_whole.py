@@ -94,3 +94,10 @@ def test_project_points_broadcasts_no_table(spark):
     keys = broadcast_keys(spark, lambda: registry.QUERIES["project_points"](spark, DATA).count())
     # sizes of blocks, one row a block
     assert {re.sub(r"#\d+L?", "", k) for k in keys} <= {"_block"}
+
+
+@needs_data
+def test_intermodal_join_broadcasts_no_table(spark):
+    keys = broadcast_keys(spark, lambda: registry.QUERIES["intermodal_join"](spark, DATA).count())
+    # sizes of blocks, modes of transport, the one largest component
+    assert {re.sub(r"#\d+L?", "", k) for k in keys} <= {"_block", "lower(trim(type, None))", "component_id"}
