@@ -18,10 +18,11 @@ members go to the intersections of six lists instead, 28 a fingerprint, which ha
 most 65,536 distinct members whatever the corpus, as only two bytes are free, and are
 tallied in the same way. Copies collapse to distinct fingerprints first.
 
-The five-word form (`near_dedup`, `Wide`) has fingerprints of 256 bits and links texts of a
-similarity of about 0.8 or more. Too many bits differ there for a guaranteed minimum, so
-recall is a parameter: the index holds as many sets of positions as that takes, pairs that
-meet are tallied over all bytes, and those that reach a minimum are compared bit by bit.
+The five-word form (`near_dedup`, `Wide`) has fingerprints of 256 bits and links those that differ in
+at most 44, which texts of a similarity of about 0.8 or more do. No byte need agree then, so the index
+finds most pairs only: it holds as many sets of positions as `recall` takes, pairs that meet are tallied
+over all bytes, and those that reach a minimum are compared bit by bit. An exact pass follows
+(`missed_links`): masks of which one must agree connect every pair that the index has left out.
 
 Defined cases: null and empty texts have fingerprint zero and are linked like any other;
 fewer than three words are one shingle; a null doc_id never names a component unless all
@@ -63,6 +64,10 @@ LISTED = 4096
 PAIRS = 1 << 20
 #: Members up to which lists of long fingerprints are compared together.
 SHORT = 8
+#: Members from which a list of agreeing words is compared by itself.
+LONG = 64
+#: Long fingerprints of a block, about.
+BLOCK = 1 << 18
 
 
 def fingerprint(text: str | None, size: int = SHINGLE) -> int:
@@ -452,10 +457,93 @@ def similar_links(distinct: DataFrame, texts: int, wide: Wide) -> DataFrame:
     return met.repartition("key").sortWithinPartitions("key").mapInArrow(_wide_lists(wide), "a long, b long").distinct()
 
 
+def covering(bits: int) -> np.ndarray:
+    """Masks of 32 bits, of which one leaves out all differing ones of any two words that differ in so many bits.
+
+    Each position has a vector of bits + 1 coordinates, and a mask holds the positions whose vector has an odd
+    product with one of the other vectors: so many equations leave one that is zero at every differing position.
+    With 5 bits all masks but one have 16 positions (Reed-Muller).
+    """
+    top = 1 << bits
+    vectors = [top | i & top - 1 for i in range(32)]
+    return np.array([sum(((v & x).bit_count() & 1) << i for i, x in enumerate(vectors)) for v in range(1, 2 * top)], np.uint32)
+
+
+def covered(fps: np.ndarray, label: np.ndarray, parts: list[int], wide: Wide) -> tuple[np.ndarray, np.ndarray]:
+    """Links (positions) that connect all fingerprints (rows of lanes) within the bits and with different labels,
+    as far as some of the words of 32 bits tell; members of a label are together already."""
+    label, n = np.unique(label, return_inverse=True)[1], len(fps)
+    words, place, out = fps.view(np.uint32).reshape(n, -1), np.arange(n, dtype=np.uint64), [(np.zeros(0, np.int64),) * 2]
+    apart_bits = lambda a, b: np.bitwise_count(fps[a] ^ fps[b]).sum(-1, dtype=np.int64)
+    for part in parts:
+        # half of the other bits tell most pairs apart
+        lanes = [fps[:, k].copy() for k in range(wide.lanes) if k != part // 2][: max(1, wide.lanes // 2)]
+        for mask in covering(wide.max_bits // (2 * wide.lanes)):
+            order = np.sort((words[:, part] & mask).astype(np.uint64) << np.uint64(32) | place)
+            key, at = (order >> np.uint64(32)).astype(np.uint32), (order & np.uint64(0xFFFFFFFF)).astype(np.int64)
+            first = [lane[at] for lane in lanes]
+            cut = np.flatnonzero(key[1:] != key[:-1]) + 1
+            starts, ends = np.concatenate([[0], cut]), np.concatenate([cut, [n]])
+            large, found = ends - starts > LONG, []
+            left, apart = np.flatnonzero(np.repeat(~large, ends - starts)), 1
+            while len(left):  # short lists all at once
+                left = left[left + apart < n]
+                left = left[key[left] == key[left + apart]]
+                some = left[sum(np.bitwise_count(x[left] ^ x[left + apart]) for x in first) <= wide.max_bits]
+                a, b = at[some], at[some + apart]
+                new = label[a] != label[b]
+                a, b = a[new], b[new]
+                near = apart_bits(a, b) <= wide.max_bits
+                found.append((a[near], b[near]))
+                apart += 1
+            for k in np.flatnonzero(large):
+                members = at[starts[k] : ends[k]]
+                values, sizes = np.unique(label[members], return_counts=True)
+                others, step = members[label[members] != values[sizes.argmax()]], max(1, PAIRS // (len(members) * wide.lanes))
+                for start in range(0, len(others), step):
+                    some = others[start : start + step]
+                    i, j = np.nonzero((apart_bits(some[:, None], members[None, :]) <= wide.max_bits) & (label[some][:, None] != label[members][None, :]))
+                    found.append((some[i], members[j]))
+            a, b = (np.concatenate(x) for x in zip((place[:0].astype(np.int64),) * 2, *found, strict=True))
+            if len(a):
+                root = _roots(label.max() + 1, label[a], label[b])
+                out.append((a, b))
+                label = root[label]
+    a, b = (np.concatenate(x) for x in zip(*out, strict=True))
+    return a, b
+
+
+def missed_links(distinct: DataFrame, linked: DataFrame, texts: int, wide: Wide, block: int = BLOCK) -> DataFrame:
+    """Links (a, b) that connect every pair of distinct long fingerprints (node, fp) within the bits, however few bytes
+    it shares, where `linked` does not connect it already.
+
+    Two that differ in 44 of 256 bits differ in at most 5 of one of their eight words, and so agree under one of its
+    masks. All fingerprints go to one task for each word, in blocks that meet two by two once there are many.
+    """
+    blocks, parts = max(1, math.ceil(texts / block)), list(range(2 * wide.lanes))
+    shares = [[p] for p in parts] if blocks < 8 else [parts]
+    rooted = distinct.select("node", "fp").join(components(linked), "node", "left").select("node", "fp", F.coalesce("root", "node").alias("root"))
+    own, other = F.pmod(F.xxhash64("node"), F.lit(blocks)), F.col("_other")
+    met = rooted.withColumn("_own", own).withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    met = met.filter(other != F.col("_own")) if blocks > 1 else met
+    met = met.withColumn("_share", F.explode(F.sequence(F.lit(0), F.lit(len(shares) - 1))))
+    met = met.select("node", "fp", "root", "_share", ((F.least("_own", other) * blocks + F.greatest("_own", other)) * len(shares) + F.col("_share")).alias("_task"))
+
+    def run(table: pa.Table) -> pa.Table:
+        node, fps = table["node"].to_numpy(), np.frombuffer(b"".join(table["fp"].to_pylist()), np.uint64).reshape(table.num_rows, -1)
+        a, b = covered(fps, table["root"].to_numpy(), shares[table["_share"][0].as_py()], wide)
+        a, b = node[a], node[b]
+        return pa.table({"a": pa.array(np.maximum(a, b), pa.int64()), "b": pa.array(np.minimum(a, b), pa.int64())})
+
+    return met.groupBy("_task").applyInArrow(run, "a long, b long")
+
+
 def similar(found: DataFrame, wide: Wide = Wide()) -> DataFrame:  # noqa: B008
     """Rows (doc_id, fp, uid), fp a long fingerprint, with root and component_id."""
     distinct = checkpoint(found.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies")).withColumn("node", F.monotonically_increasing_id()))
-    told = _components(distinct, similar_links(distinct, distinct.count(), wide), "node")
+    texts = distinct.count()
+    linked = checkpoint(similar_links(distinct, texts, wide))
+    told = _components(distinct, linked.unionByName(missed_links(distinct, linked, texts, wide)), "node")
     return _found(found, told.join(distinct.select("node", "fp"), "node"))
 
 

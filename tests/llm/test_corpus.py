@@ -268,6 +268,44 @@ def test_similar_texts(spark):
     assert set(root) <= kept and len(kept - set(root)) <= 2 < len(texts) - len(set(root))
 
 
+def test_all_pairs_within_the_bits_are_linked(spark):
+    assert len(simhash.covering(5)) == 63
+    masks = simhash.covering(5)
+    rng = np.random.default_rng(3)
+    for _ in range(200):
+        differ = np.bitwise_or.reduce(np.uint32(1) << rng.choice(32, 5, replace=False).astype(np.uint32))
+        assert (masks & differ == 0).any()
+    # pairs that differ in just the bits that are linked, spread evenly: few bytes agree, none of them need to
+    bits = rng.integers(0, 2, (400, 256), dtype=np.uint8)
+    other = bits.copy()
+    for k, row in enumerate(other):
+        row[rng.choice(256, WIDE.max_bits, replace=False) if k % 2 else np.arange(WIDE.max_bits) * 256 // WIDE.max_bits] ^= 1
+    beyond = bits[:100].copy()
+    for row in beyond:
+        row[rng.choice(256, WIDE.max_bits + 1, replace=False)] ^= 1
+    # a large group of near copies, and some near one of its members only
+    crowd = np.repeat(rng.integers(0, 2, (1, 256), dtype=np.uint8), 200, axis=0)
+    for k, row in enumerate(crowd):
+        row[[k, 255 - k % 50]] ^= 1
+    fps = np.packbits(np.concatenate([bits, other, beyond, crowd]), axis=1).view(np.uint64)
+    apart = np.bitwise_count(fps[:, None] ^ fps[None]).sum(-1) <= WIDE.max_bits
+    root = np.arange(len(fps))
+    for _ in range(10):
+        root = np.array([root[row].min() for row in apart])
+    rows = frame_of(spark, fps)
+    index = common.components(simhash.similar_links(rows, len(fps), WIDE)).count()
+    for block in (simhash.BLOCK, 500, 100):
+        linked = common.checkpoint(simhash.similar_links(rows, len(fps), WIDE))
+        links = linked.unionByName(simhash.missed_links(rows, linked, len(fps), WIDE, block))
+        told = {r["node"]: r["root"] for r in common.components(links).collect()}
+        assert [told.get(k, k) for k in range(len(fps))] == root.tolist()
+    assert index < len(told)  # the index alone leaves some out
+
+
+def frame_of(spark, fps):
+    return spark.createDataFrame([(k, bytearray(row.tobytes())) for k, row in enumerate(fps)], "node long, fp binary")
+
+
 def test_near_dedup_of_edge_cases(spark, edge, none):
     kept = simhash.near_dedup(edge)
     assert kept.columns == edge.columns and simhash.near_dedup(none).count() == 0
