@@ -118,6 +118,14 @@ def _roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         root = low
 
 
+def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links (node, root) that connect what the links (a, b) connect, one for each node but the smallest of those together."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    root = _roots(len(nodes), at[: len(a)], at[len(a) :])
+    linked = np.flatnonzero(root != np.arange(len(nodes)))
+    return nodes[linked], nodes[root[linked]]
+
+
 def stars(values: np.ndarray) -> list[tuple[int, int]]:
     """Links (value, root) between the members of a list that share enough bytes and differ in few bits."""
     v = np.unique(np.asarray(values, np.int64))
@@ -250,10 +258,9 @@ def links(distinct: DataFrame, listed: int = LISTED) -> DataFrame:
     return sure.unionByName(_met(crowded, None, None))
 
 
-def _components(distinct: DataFrame, linked: DataFrame, key: str) -> DataFrame:
+def _components(distinct: DataFrame, rooted: DataFrame, key: str) -> DataFrame:
     """For each key of distinct fingerprints (with least and copies): its component's root, smallest doc_id
-    (component_id), and whether several documents are in the component (several)."""
-    rooted = components(linked).withColumnRenamed("node", key)
+    (component_id), and whether several documents are in the component (several). Those with links have a root."""
     labelled = checkpoint(distinct.join(rooted, key, "left").select(key, "least", F.coalesce("root", key).alias("root"), (F.col("root").isNotNull() | (F.col("copies") > 1)).alias("several")))
     lowest = labelled.filter("several").groupBy("root").agg(F.min("least").alias("lowest"))
     # a component may have a third of all fingerprints
@@ -264,7 +271,7 @@ def _components(distinct: DataFrame, linked: DataFrame, key: str) -> DataFrame:
 def groups(found: DataFrame, listed: int = LISTED) -> DataFrame:
     """For each distinct fingerprint (fp): root, component_id and several."""
     distinct = checkpoint(found.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies")))
-    return _components(distinct, links(distinct.select("fp"), listed), "fp")
+    return _components(distinct, components(links(distinct.select("fp"), listed)).withColumnRenamed("node", "fp"), "fp")
 
 
 def _found(found: DataFrame, told: DataFrame) -> DataFrame:
@@ -413,8 +420,8 @@ def _wide_lists(wide: Wide):
                 out.append((node[at + apart], node[at]))
             for k in np.flatnonzero(size > SHORT):
                 out.append(wide_stars(node[starts[k] : ends[k]], fps[starts[k] : ends[k]], wide))
-            a, b = (np.concatenate(x) for x in zip(*out, strict=True))
-            pairs = np.unique(np.stack([np.maximum(a, b), np.minimum(a, b)]), axis=1)
+            # a member of a large group is in most sets' lists: its links go to the smallest of a batch, which many lists have in common
+            pairs = _forest(*(np.concatenate(x) for x in zip(*out, strict=True)))
             return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in pairs], ["a", "b"])
 
         kept: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
@@ -470,11 +477,20 @@ def covering(bits: int) -> np.ndarray:
 
 
 def covered(fps: np.ndarray, label: np.ndarray, parts: list[int], wide: Wide) -> tuple[np.ndarray, np.ndarray]:
-    """Links (positions) that connect all fingerprints (rows of lanes) within the bits and with different labels,
-    as far as some of the words of 32 bits tell; members of a label are together already."""
-    label, n = np.unique(label, return_inverse=True)[1], len(fps)
-    words, place, out = fps.view(np.uint32).reshape(n, -1), np.arange(n, dtype=np.uint64), [(np.zeros(0, np.int64),) * 2]
+    """Links (label, root) that connect the labels of all fingerprints (rows of lanes) within the bits, as far as some
+    of the words of 32 bits tell; members of a label are together already. Fewer links than labels, not pairs."""
+    values, label = np.unique(label, return_inverse=True)
+    n, root = len(fps), np.arange(len(values))
+    words, place = fps.view(np.uint32).reshape(n, -1), np.arange(n, dtype=np.uint64)
     apart_bits = lambda a, b: np.bitwise_count(fps[a] ^ fps[b]).sum(-1, dtype=np.int64)
+
+    def join(a: np.ndarray, b: np.ndarray) -> None:
+        nonlocal label, root
+        node, least = _forest(label[a], label[b])
+        to = np.arange(len(values))
+        to[node] = least
+        label, root = to[label], to[root]
+
     for part in parts:
         # half of the other bits tell most pairs apart
         lanes = [fps[:, k].copy() for k in range(wide.lanes) if k != part // 2][: max(1, wide.lanes // 2)]
@@ -484,7 +500,7 @@ def covered(fps: np.ndarray, label: np.ndarray, parts: list[int], wide: Wide) ->
             first = [lane[at] for lane in lanes]
             cut = np.flatnonzero(key[1:] != key[:-1]) + 1
             starts, ends = np.concatenate([[0], cut]), np.concatenate([cut, [n]])
-            large, found = ends - starts > LONG, []
+            large = ends - starts > LONG
             left, apart = np.flatnonzero(np.repeat(~large, ends - starts)), 1
             while len(left):  # short lists all at once
                 left = left[left + apart < n]
@@ -494,46 +510,53 @@ def covered(fps: np.ndarray, label: np.ndarray, parts: list[int], wide: Wide) ->
                 new = label[a] != label[b]
                 a, b = a[new], b[new]
                 near = apart_bits(a, b) <= wide.max_bits
-                found.append((a[near], b[near]))
+                if near.any():
+                    join(a[near], b[near])
                 apart += 1
             for k in np.flatnonzero(large):
                 members = at[starts[k] : ends[k]]
-                values, sizes = np.unique(label[members], return_counts=True)
-                others, step = members[label[members] != values[sizes.argmax()]], max(1, PAIRS // (len(members) * wide.lanes))
+                sizes = np.unique(label[members], return_counts=True)
+                others, step = members[label[members] != sizes[0][sizes[1].argmax()]], max(1, PAIRS // (len(members) * wide.lanes))
                 for start in range(0, len(others), step):
                     some = others[start : start + step]
                     i, j = np.nonzero((apart_bits(some[:, None], members[None, :]) <= wide.max_bits) & (label[some][:, None] != label[members][None, :]))
-                    found.append((some[i], members[j]))
-            a, b = (np.concatenate(x) for x in zip((place[:0].astype(np.int64),) * 2, *found, strict=True))
-            if len(a):
-                root = _roots(label.max() + 1, label[a], label[b])
-                out.append((a, b))
-                label = root[label]
-    a, b = (np.concatenate(x) for x in zip(*out, strict=True))
-    return a, b
+                    if len(i):
+                        join(some[i], members[j])
+    linked = np.flatnonzero(root != np.arange(len(values)))
+    return values[linked], values[root[linked]]
 
 
 def missed_links(distinct: DataFrame, linked: DataFrame, texts: int, wide: Wide, block: int = BLOCK) -> DataFrame:
     """Links (a, b) that connect every pair of distinct long fingerprints (node, fp) within the bits, however few bytes
-    it shares, where `linked` does not connect it already.
+    it shares, where `linked` does not connect it already."""
+    return _missed(_rooted(distinct, linked), texts, wide, block)
+
+
+def _rooted(distinct: DataFrame, linked: DataFrame) -> DataFrame:
+    """Distinct fingerprints with the root of what `linked` connects them to (null: nothing)."""
+    return distinct.join(components(linked), "node", "left")
+
+
+def _missed(rooted: DataFrame, texts: int, wide: Wide, block: int = BLOCK) -> DataFrame:
+    """Links (a, b) between the roots of fingerprints (node, fp, root), which stand for all that is together already.
 
     Two that differ in 44 of 256 bits differ in at most 5 of one of their eight words, and so agree under one of its
-    masks. All fingerprints go to one task for each word, in blocks that meet two by two once there are many.
+    masks. All fingerprints go to one task for each word, in blocks that meet two by two once there are many; each
+    task returns fewer links than it has roots, however many pairs are within the bits.
     """
     blocks, parts = max(1, math.ceil(texts / block)), list(range(2 * wide.lanes))
     shares = [[p] for p in parts] if blocks < 8 else [parts]
-    rooted = distinct.select("node", "fp").join(components(linked), "node", "left").select("node", "fp", F.coalesce("root", "node").alias("root"))
     own, other = F.pmod(F.xxhash64("node"), F.lit(blocks)), F.col("_other")
-    met = rooted.withColumn("_own", own).withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    met = rooted.select("node", "fp", F.coalesce("root", "node").alias("root"))
+    met = met.withColumn("_own", own).withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
     met = met.filter(other != F.col("_own")) if blocks > 1 else met
     met = met.withColumn("_share", F.explode(F.sequence(F.lit(0), F.lit(len(shares) - 1))))
-    met = met.select("node", "fp", "root", "_share", ((F.least("_own", other) * blocks + F.greatest("_own", other)) * len(shares) + F.col("_share")).alias("_task"))
+    met = met.select("fp", "root", "_share", ((F.least("_own", other) * blocks + F.greatest("_own", other)) * len(shares) + F.col("_share")).alias("_task"))
 
     def run(table: pa.Table) -> pa.Table:
-        node, fps = table["node"].to_numpy(), np.frombuffer(b"".join(table["fp"].to_pylist()), np.uint64).reshape(table.num_rows, -1)
+        fps = np.frombuffer(b"".join(table["fp"].to_pylist()), np.uint64).reshape(table.num_rows, -1)
         a, b = covered(fps, table["root"].to_numpy(), shares[table["_share"][0].as_py()], wide)
-        a, b = node[a], node[b]
-        return pa.table({"a": pa.array(np.maximum(a, b), pa.int64()), "b": pa.array(np.minimum(a, b), pa.int64())})
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return met.groupBy("_task").applyInArrow(run, "a long, b long")
 
@@ -542,8 +565,11 @@ def similar(found: DataFrame, wide: Wide = Wide()) -> DataFrame:  # noqa: B008
     """Rows (doc_id, fp, uid), fp a long fingerprint, with root and component_id."""
     distinct = checkpoint(found.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies")).withColumn("node", F.monotonically_increasing_id()))
     texts = distinct.count()
-    linked = checkpoint(similar_links(distinct, texts, wide))
-    told = _components(distinct, linked.unionByName(missed_links(distinct, linked, texts, wide)), "node")
+    rooted = checkpoint(_rooted(distinct, similar_links(distinct, texts, wide)).withColumn("uid", F.monotonically_increasing_id()))
+    # what the exact pass adds is between roots: only those are linked anew
+    above = components(_missed(rooted, texts, wide)).select(F.col("node").alias("_root"), F.col("root").alias("_above"))
+    last = spread_join(rooted.withColumn("_root", F.coalesce("root", "node")), above, "_root").select("node", F.coalesce("_above", "root").alias("root")).filter("root is not null")
+    told = _components(distinct, last, "node")
     return _found(found, told.join(distinct.select("node", "fp"), "node"))
 
 

@@ -302,6 +302,30 @@ def test_all_pairs_within_the_bits_are_linked(spark):
     assert index < len(told)  # the index alone leaves some out
 
 
+def test_links_of_a_large_group_do_not_grow_with_its_pairs(spark):
+    rng = np.random.default_rng(12)
+    centre = rng.integers(0, 2, 256, dtype=np.uint8)
+
+    def group(members, bits):
+        return np.packbits(np.stack([centre ^ (np.argsort(rng.random(256)) < bits) for _ in range(members)]), axis=1).view(np.uint64)
+
+    # members within the bits of each other whom nothing connects yet: each of the eight words' tasks connects them once
+    members = 300
+    fps = group(members, 20)
+    rows = frame_of(spark, fps)
+    none = spark.createDataFrame([], "a long, b long")
+    missed = common.checkpoint(simhash.missed_links(rows, none, members, WIDE))
+    assert missed.count() <= 8 * (members - 1)
+    assert common.components(missed).select("root").distinct().count() == 1
+    a, b = simhash.covered(fps, np.arange(members), list(range(8)), WIDE)
+    assert len(a) == members - 1 and (a > b).all() and set(b.tolist()) == {0}
+    # members that share most lists: links of different lists go to the same few members
+    fps = group(1000, 3)
+    links = common.checkpoint(simhash.similar_links(frame_of(spark, fps), 40_000, WIDE))
+    assert links.count() <= 10 * len(fps)
+    assert common.components(links).select("root").distinct().count() == 1
+
+
 def frame_of(spark, fps):
     return spark.createDataFrame([(k, bytearray(row.tobytes())) for k, row in enumerate(fps)], "node long, fp binary")
 
