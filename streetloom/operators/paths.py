@@ -2,7 +2,9 @@
 
 Weights and distances are float32 throughout; sums of floats are monotone, so the least
 distance is one fixpoint whatever the order of relaxations, and both kernels agree bit
-for bit:
+for bit. The owner of a node is not: where two sums round to one, a source passes on what
+it had at a node before a nearer one came there. Searches for the nearest source therefore
+go arc by arc in rounds, in both kernels and in SQL:
 
 * the array kernel sends the arcs, up to `KERNEL_ARCS` of them, to every executor once and
   relaxes frontiers of many sources at a time in numpy, nearer nodes first, as `mapInPandas` over the
@@ -72,11 +74,12 @@ class Space:
         self.cell, self.mark = np.full(size, NEVER), np.empty(size, np.int32)
 
 
-def relax(indptr: np.ndarray, heads: np.ndarray, weights: np.ndarray, rows: np.ndarray, seeds: np.ndarray, n_rows: int, cutoff: np.float32, owners: np.ndarray | None = None, space: Space | None = None) -> tuple[np.ndarray, np.ndarray]:
+def relax(indptr: np.ndarray, heads: np.ndarray, weights: np.ndarray, rows: np.ndarray, seeds: np.ndarray, n_rows: int, cutoff: np.float32, owners: np.ndarray | None = None, space: Space | None = None, rounds: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Distances of n_rows searches from seeds (row, position), and the winning owner.
 
     A cell holds the bits of its distance above its owner's number, so the least cell is
-    the least distance and, of equal ones, the least owner.
+    the least distance and, of equal ones, the least owner. Owners are those of the join
+    kernel only by `rounds`, in which all that changed goes on at once.
     """
     n = len(indptr) - 1
     space = space or Space(n_rows * n)
@@ -87,7 +90,7 @@ def relax(indptr: np.ndarray, heads: np.ndarray, weights: np.ndarray, rows: np.n
     front = np.unique(front)
     degree, touched, many = np.diff(indptr), [front], n_rows * n // 8
     # What lies beyond the bound waits, or else every path of more arcs that is a little shorter would go all the way again
-    width, bound, later = stride(weights), np.float32(0), []
+    width, bound, later = stride(weights), np.float32(np.inf if rounds else 0), []
     while len(front):
         at = front % n
         fan = degree[at]
@@ -212,8 +215,8 @@ def per_source(graph: CityGraph, sources: DataFrame, weight: str | None = None,
     return dealt.mapInPandas(run, "source long, node long, dist float")
 
 
-def _from_many(graph: CityGraph, seeds: DataFrame, arcs: DataFrame, limit: np.float32, kernel_arcs: int) -> DataFrame:
-    """(node, dist, owner) from seeds (node, owner) in one search; owner is the seed's position."""
+def _from_many(graph: CityGraph, seeds: DataFrame, arcs: DataFrame, limit: np.float32, kernel_arcs: int, rounds: bool) -> DataFrame:
+    """(node, dist, owner) from seeds (node, owner) in one search; owner is the seed's position, and that of SQL by `rounds`."""
     if not _small(arcs, graph.nodes, kernel_arcs):
         start = seeds.select(F.lit(0).cast("long").alias("source"), "node", F.lit(0.0).cast("float").alias("dist"), "owner")
         return _by_joins(arcs, start, limit).select("node", "dist", "owner")
@@ -223,7 +226,7 @@ def _from_many(graph: CityGraph, seeds: DataFrame, arcs: DataFrame, limit: np.fl
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for _ in batches:
             csr, nodes, owners = sent.value
-            seen, cell = relax(csr.indptr, csr.heads, csr.weights, np.zeros(len(nodes), np.int64), csr.place(nodes), 1, limit, owners)
+            seen, cell = relax(csr.indptr, csr.heads, csr.weights, np.zeros(len(nodes), np.int64), csr.place(nodes), 1, limit, owners, rounds=rounds)
             for i in range(0, len(seen), OUT_ROWS):
                 part = cell[i : i + OUT_ROWS]
                 yield pd.DataFrame({"node": csr.ids[seen[i : i + OUT_ROWS]], "dist": distances(part), "owner": (part & np.uint64(0xFFFFFFFF)).astype(np.int64)})
@@ -261,13 +264,13 @@ def _seeds(graph: CityGraph, sources: DataFrame) -> DataFrame:
 def multi_source(graph: CityGraph, sources: DataFrame, weight: str | None = None, cutoff: float | None = None, reverse: bool = False, kernel_arcs: int = KERNEL_ARCS) -> DataFrame:
     """(node, dist) from the nearest of several sources."""
     limit = check_cutoff(cutoff)
-    return _from_many(graph, _seeds(graph, sources), _arcs(graph, weight, reverse), limit, kernel_arcs).select("node", "dist")
+    return _from_many(graph, _seeds(graph, sources), _arcs(graph, weight, reverse), limit, kernel_arcs, rounds=False).select("node", "dist")
 
 
 def nearest_source(graph: CityGraph, sources: DataFrame, weight: str | None = None, cutoff: float | None = None, reverse: bool = False, kernel_arcs: int = KERNEL_ARCS) -> DataFrame:
     """(node, source, dist); of equally near sources the first in node order wins."""
     limit, seeds = check_cutoff(cutoff), _seeds(graph, sources)
-    found = _from_many(graph, seeds, _arcs(graph, weight, reverse), limit, kernel_arcs)
+    found = _from_many(graph, seeds, _arcs(graph, weight, reverse), limit, kernel_arcs, rounds=True)
     return found.join(seeds.select("owner", F.col("node").alias("source")), "owner").select("node", "source", "dist")
 
 

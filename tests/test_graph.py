@@ -60,6 +60,16 @@ def test_many_sources(spark, limit):
     assert as_set(paths.per_source(g, ids(spark, 0, 3, 3), kernel_arcs=limit).filter("node = 2"), "source", "dist") == {(0, 3), (3, 4)}
 
 
+@pytest.mark.parametrize("limit", [paths.KERNEL_ARCS, 0])
+def test_nearest_source_goes_in_rounds_where_sums_round_to_one(spark, limit):
+    # 2 is one arc from 8, and 5 is a little nearer by two arcs; the little is lost on the way from 8 to 9
+    far = float(np.float32(1) + np.float32(2.0**-23))
+    places = {n: (n, 0) for n in (2, 5, 7, 8, 9, *range(10, 31))}
+    g = micro.build(spark, places, [(2, 8, 1, far), (5, 7, 1, 0.5), (7, 8, 1, 0.5), (8, 9, 1, 2), *((n, n + 1, 1, 0.01) for n in range(10, 30))])
+    got = as_set(paths.nearest_source(g, ids(spark, 2, 5), kernel_arcs=limit), "node", "source", "dist")
+    assert got == {(2, 2, 0), (5, 5, 0), (7, 5, 0.5), (8, 5, 1), (9, 2, 3)}
+
+
 def test_path_errors(spark):
     g = micro.line(spark)
     with pytest.raises(ValueError, match="not nodes"):
