@@ -113,6 +113,40 @@ def test_kernel_matches_plain_dijkstra():
 
 
 
+def test_searches_side_by_side_match_single_ones_and_stop_early():
+    # streets of 6 x 2000; the first of each row is left and not reached, so what its search reaches differs from the others
+    rng = np.random.default_rng(5)
+    at = np.arange(12000)
+    right, down = at[(at % 6 < 5) & (rng.random(12000) < 0.9)], at[(at < 11994) & (at % 6 > 0) & (rng.random(12000) < 0.9)]
+    src, dst = np.concatenate([right, right[right % 6 > 0] + 1, down, down + 6]), np.concatenate([right + 1, right[right % 6 > 0], down + 6, down])
+    csr = paths.Csr(src, dst, rng.choice(np.array([0.1, 0.15, 0.2, 0.3, 1.205], np.float32), len(src)), at)
+    inf, wide = np.float32(np.inf), paths.Wide(12000, 8 * 12001)
+    goals, used = paths.Goals(csr, np.arange(0, 900, 7), []), []
+    for first, cutoff, aim in ((600, np.float32(2), None), (600, inf, None), (600, inf, goals), (608, inf, goals), (616, inf, goals)):
+        seeds = np.arange(first, first + 8)
+        assert paths.relax_wide(csr, seeds, cutoff, wide, aim)
+        used.append(wide.used)
+        seen, cell = paths.relax(csr.indptr, csr.heads, csr.weights, np.arange(8), seeds, 8, cutoff)
+        want = np.full(8 * 12000, inf)
+        want[seen] = paths.distances(cell)
+        asked = at if aim is None else goals.wanted
+        assert np.array_equal(wide.of(asked, np.arange(8)), want.reshape(8, 12000).T[asked])
+    assert max(used[3:]) < 0.8 * used[2] == 0.8 * used[1]
+    assert not paths.relax_wide(csr, np.arange(8), inf, paths.Wide(12000, 8 * 100))  # no room
+
+
+def test_od_matrix_repeats_labels_and_splits_searches_without_room(spark, monkeypatch):
+    places = {n: (10 * n, 0) for n in range(40)}
+    g = micro.build(spark, places, [(n, n + 1, 10, 1) for n in range(39)])
+    side = spark.createDataFrame([(f"{k}{n}", n) for n in range(40) for k in "ab"], "object_id string, node_id long")
+    want = {(f"{a}{n}", f"{b}{m}", abs(n - m)) for n in range(40) for m in range(40) for a in "ab" for b in "ab"}
+    monkeypatch.setattr(paths, "OUT_ROWS", 100)
+    assert as_set(paths.od_matrix(g, side, side, max_workers=1), "origin_id", "dest_id", "dist") == want
+    monkeypatch.setattr(paths, "WIDE_CELLS", 8 * 41)
+    assert as_set(paths.od_matrix(g, side, side, max_workers=1), "origin_id", "dest_id", "dist") == want
+    assert as_set(paths.od_matrix(g, side, side, threshold=2), "origin_id", "dest_id", "dist") == {x for x in want if x[2] <= 2}
+
+
 def test_arcs_reach_the_driver_as_arrow(spark, monkeypatch):
     def rows(self):
         raise AssertionError("rows of Python objects in the driver")
